@@ -142,24 +142,45 @@ def subcomponent_value(raw: Column, enc: Column, i: int, j: int) -> Column:
     return F.when(has(c, enc["subcomponent"]), part(c, enc["subcomponent"], j))
 
 
-def read_path(segments: Column, enc: Column, path: FieldPath | str, numbering: str = "as_coded") -> Column:
-    """The value a path leads to, NULL where it leads nowhere."""
-    p = FieldPath.parse(path) if isinstance(path, str) else path
-    if p.segment == "MSH" and numbering == "standard" and p.field == 1:
-        return F.when(get_segment(segments, "MSH", p.occurrence).isNotNull(), enc["field"])
-    raw = raw_field(get_segment(segments, p.segment, p.occurrence)["fields"], p.field, p.segment, numbering)
-    encoding_field = p.segment == "MSH" and p.field == (2 if numbering == "standard" else 1)
-    if encoding_field and numbering == "standard":
-        return raw
+def segment_text(raw: Column, segment: str, n: int = 0) -> Column:
+    """The text of occurrence n of a segment, straight from the message; NULL if there's none."""
+    pattern = rf"(?:^|\r)({re.escape(segment)}[^\r]*)"
+    if len(segment) != 3 or segment[0] in SPACES:
+        return F.lit(None).cast("string")
+    found = F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")) if n == 0 else F.get(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), F.lit(n))
+    return F.when(is_message(raw), found)
+
+
+def _read(there: Column, field: Column, enc: Column, p: FieldPath, numbering: str) -> Column:
+    """What a path leads to, from a segment that may be there and a field's text."""
+    if p.segment == "MSH" and numbering == "standard" and p.field <= 2:
+        return F.when(there.isNotNull(), enc["field"]) if p.field == 1 else field
     if p.repetition is not None:  # a field that isn't repeated takes no notice of the number
-        raw = F.when(has(raw, enc["repetition"]), part(raw, enc["repetition"], p.repetition)).otherwise(raw)
+        field = F.when(has(field, enc["repetition"]), part(field, enc["repetition"], p.repetition)).otherwise(field)
     else:
-        raw = part(raw, enc["repetition"], 0)
+        field = part(field, enc["repetition"], 0)
     if p.component is None:
-        return field_value(raw, enc)
+        return field_value(field, enc)
     if p.subcomponent is None:
-        return component_value(raw, enc, p.component)
-    return subcomponent_value(raw, enc, p.component, p.subcomponent)
+        return component_value(field, enc, p.component)
+    return subcomponent_value(field, enc, p.component, p.subcomponent)
+
+
+def read_path(segments: Column, enc: Column, path: FieldPath | str, numbering: str = "as_coded") -> Column:
+    """The value a path leads to in parsed segments, NULL where it leads nowhere."""
+    p = FieldPath.parse(path) if isinstance(path, str) else path
+    s = get_segment(segments, p.segment, p.occurrence)
+    return _read(s, raw_field(s["fields"], p.field, p.segment, numbering), enc, p, numbering)
+
+
+def read_raw(raw: Column, path: FieldPath | str, numbering: str = "as_coded") -> Column:
+    """The same straight from a message's text, without parsing the rest of it: for queries that touch few fields."""
+    p = FieldPath.parse(path) if isinstance(path, str) else path
+    line, sep = segment_text(raw, p.segment, p.occurrence), F.substring(raw, 4, 1)
+    n = p.field - (p.segment == "MSH" and numbering == "standard")
+    field = part(line, sep, n) if n >= 1 else F.lit(None).cast("string")
+    enc = {"field": sep} | {k: F.substring(raw, 5 + i, 1) for i, k in enumerate(("component", "repetition", "escape", "subcomponent"))}
+    return _read(line, field, enc, p, numbering)
 
 
 # -- typed values -------------------------------------------------------------------------------------------------------
@@ -177,8 +198,16 @@ def epoch(x: Column) -> Column:
 
     Whole pairs of digits after the date count, a zone or fraction doesn't.
     """
-    digits = F.regexp_extract(x, r"^([0-9]{8}(?:[0-9]{2}){0,3})", 1)
-    return F.unix_timestamp(F.try_to_timestamp(F.rpad(F.nullif(digits, F.lit("")), 14, "0"), F.lit("yyyyMMddHHmmss")))
+    digits = F.rpad(F.regexp_extract(x, r"^([0-9]{8}(?:[0-9]{2}){0,3})", 1), 14, "0")
+    number = lambda at, n: F.substring(digits, at, n).try_cast("int")
+    at = F.try_make_timestamp_ntz(number(1, 4), number(5, 2), number(7, 2), number(9, 2), number(11, 2), number(13, 2).cast("decimal(16,6)"))
+    return seconds(F.when(x.rlike("^[0-9]{8}"), at))
+
+
+def seconds(at: Column) -> Column:
+    """Whole seconds from 1970 to a timestamp without zone, whatever the session's zone."""
+    days = F.date_diff(F.to_date(at), F.lit("1970-01-01").cast("date"))
+    return (days.cast("bigint") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)).cast("bigint")
 
 
 def validate(segments: Column, parse_errors: Column) -> Column:

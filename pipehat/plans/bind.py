@@ -38,7 +38,7 @@ class NoFilter(Exception):
 
 
 class Binder:
-    """Binds expressions to the columns of a DataFrame of messages.
+    """Binds expressions to the columns of a DataFrame of messages, parsed or as text alone.
 
     `unindexed` lists the fields in conditions that no shredded column holds, which makes their query a full scan.
     """
@@ -80,6 +80,8 @@ class Binder:
         if e.field <= 0:
             return F.lit(None).cast("string")
         path = hl7.FieldPath(e.segment, e.field, e.component, e.subcomponent)
+        if "segments" not in self.columns:  # messages that aren't parsed yet
+            return hl7.read_raw(F.col("raw_message"), path, self.how.numbering)
         return hl7.read_path(F.col("segments"), F.col("enc"), path, self.how.numbering)
 
     def now(self) -> int:
