@@ -29,7 +29,12 @@ def unescape(x: Column) -> Column:
 
 
 def encode64(x: Column) -> Column:
-    return F.base64(F.encode(x, "UTF-8"))
+    return one_line(F.base64(F.encode(x, "UTF-8")))
+
+
+def one_line(x: Column) -> Column:
+    """Base64 without the line ends that may stand in it."""
+    return F.translate(x, "\r\n", "")
 
 
 def decode64(x: Column) -> Column:
@@ -43,7 +48,7 @@ def encrypt(x: Column, key: Column, message_id: Column, iv: Column | None = None
     plain = F.encode(x, "UTF-8")
     mode, padding = F.lit("GCM"), F.lit("DEFAULT")
     iv = F.unhex(F.substring(F.replace(F.call_function("uuid"), F.lit("-"), F.lit("")), 1, 24)) if iv is None else iv
-    return F.base64(F.aes_encrypt(plain, key, mode, padding, iv, aad))
+    return one_line(F.base64(F.aes_encrypt(plain, key, mode, padding, iv, aad)))
 
 
 def decrypt(x: Column, key: Column, message_id: Column) -> Column:

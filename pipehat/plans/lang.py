@@ -186,8 +186,11 @@ class Parser:
             n = self.whole()
             self.need("op", "]")
             rest = []
-            while self.extended and len(rest) < 2 and self.take("op", "."):
-                rest.append(self.whole())
+            while self.extended and not rest[1:] and self.take("op", "."):
+                t = self.need("number")  # `1.0` reads as one number
+                rest += [int(x) for x in t.text.split(".") if x.isdigit()]
+            if len(rest) > 2:
+                raise SyntaxProblem("a field has components and subcomponents only")
             return ast.FieldRef(segment, n, *rest)
         if t.kind == "keyword" and t.text in ("COUNT", "SUM", "AVG", "MIN", "MAX"):
             self.i += 1
