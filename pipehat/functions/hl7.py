@@ -261,6 +261,12 @@ def parse(df: DataFrame, raw: str = "raw_message", numbering: str = "as_coded",
     return out
 
 
+def exploded(df: DataFrame, keep: tuple[str, ...] = ("msg_id",)) -> DataFrame:
+    """One row for each field of parsed messages: the kept columns, segment, occurrence, field (from 1) and its raw text."""
+    rows = df.select(*keep, F.posexplode("segments").alias("place", "s")).select(*keep, "place", F.col("s.id").alias("segment"), F.col("s.idx").alias("occurrence"), F.posexplode("s.fields").alias("n", "value"))
+    return rows.select(*keep, "place", "segment", "occurrence", (F.col("n") + 1).alias("field"), "value")
+
+
 def build_segment(segment: str, *fields: Column | str) -> Column:
     """A segment's text from its fields; NULL fields are empty."""
     return F.concat_ws("|", F.lit(segment), *(F.coalesce(f if isinstance(f, Column) else F.lit(f), F.lit("")) for f in fields))

@@ -130,6 +130,17 @@ def redact_frame(df: DataFrame, how: Redaction | None = None, fields: dict[str,
     return df.withColumns(new) if new else df
 
 
+def redact_exploded(df: DataFrame, how: Redaction | None = None) -> DataFrame:
+    """Exploded messages (segment, field, value) with protected values redacted."""
+    how = how or DEFAULT
+    name = F.concat_ws("-", "segment", F.col("field").cast("string"))
+    protected = name.isin(*how.covered())
+    if how.mode != NONE:
+        for w in PHI_WORDS:
+            protected = protected | name.contains(w)
+    return df.withColumn("value", F.when(protected & (F.col("value") != ""), redact_value(F.col("value"), how.mode)).otherwise(F.col("value")))
+
+
 def shortened(text: Column, width: int = 50) -> Column:
     """A text for display: its first characters and an ellipsis where it is longer than width."""
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)

@@ -12,6 +12,7 @@ from pipehat.operators import audit, monitor, queues
 from pipehat.operators.engine import Engine, query
 from pipehat.plans.bind import Semantics
 from pipehat.runtime import scratch, table
+from pipehat.sources import readers
 
 #: 2024-01-31T00:00:00Z, the time that queries count back from.
 NOW = 1706659200
@@ -192,6 +193,12 @@ def redact_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_messages(spark, sf_dir).select("msg_id", F.get(lines, F.lit(1)).alias("pid_segment"), F.get(lines, F.lit(2)).alias("obx_segment"))
 
 
+@register("redact_exploded", f"SELECT event_id AS msg_id, 'PID' AS segment, CAST(3 AS INTEGER) AS field, '[REDACTED]' AS value FROM events UNION ALL SELECT event_id, 'PID', 5, '[REDACTED]' FROM events UNION ALL SELECT event_id, 'PID', 1, '1' FROM events UNION ALL SELECT event_id, 'PID', 2, '' FROM events UNION ALL SELECT event_id, 'PID', 4, '' FROM events")
+def redact_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hl7.exploded(messages(spark, sf_dir)).where("segment = 'PID'")
+    return redact.redact_exploded(rows).select("msg_id", "segment", "field", "value")
+
+
 # -- codecs -------------------------------------------------------------------------------------------------------------
 @register("codec_roundtrip", f"SELECT event_id AS msg_id, {EPOCH} AS timestamp, 'PLN|' || event_id || '|' || {EPOCH} || '|MSH\\|' AS head, {PID} AS pid FROM events")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +312,18 @@ def processed_and_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yes.unionAll(queues.unprocessed(active, past, "pid3").select(F.col("msh9").alias("control"), F.lit(False).alias("seen")))
 
 
+@register("persisted_export", f"SELECT {PID} AS pid, count(*) AS n FROM events GROUP BY ALL")
+def persisted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queues written as persisted lines and read again."""
+    e, root = engine(spark, sf_dir, split=True), scratch(spark, "export")
+    names = readers.export_persisted(e.store, root)
+    rows = None
+    for name in names:
+        part = readers.read_persisted(spark, readers.persisted_path(root, name), parse=False)
+        rows = part if rows is None else rows.unionAll(part)
+    return rows.groupBy(hl7.read_raw(F.col("raw_message"), "PID-3").alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- audit and monitoring -----------------------------------------------------------------------------------------------
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as audit rows: errors fail, views and purchases touch protected data."""

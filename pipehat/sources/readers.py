@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipehat.functions import codec, hl7
-from pipehat.storage import size_of
+from pipehat.storage import size_of, write_text
 
 MAX_REQUEST = 1 << 20
 OK, PARSE_ERROR, EXECUTION_ERROR, INTERNAL_ERROR = 0, 1, 2, 3
@@ -48,6 +48,21 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(name.alias("name")).where("name <> ''").distinct()
 
 
+def write_registry(spark: SparkSession, path: str, names: Iterable[str]) -> None:
+    """A registry of these names, sorted, each once, in place of what was there."""
+    write_text(spark, path, "".join(f"{n}\n" for n in sorted(set(names))), overwrite=True)
+
+
+def export_persisted(store, root: str, key: Column | None = None) -> list[str]:
+    """Write a QueueStore's queues and histories as persisted lines below a folder, with a registry; the names."""
+    names = store.names()
+    for name in names:
+        write_persisted(store.active(name), persisted_path(root, name), key, "overwrite")
+        write_persisted(store.history(name), persisted_path(root, name, True), key, "overwrite")
+    write_registry(store.spark, f"{root.rstrip('/')}/channels/channels.dat", names)
+    return names
+
+
 def persisted_path(root: str, queue: str, history: bool = False) -> str:
     return f"{root.rstrip('/')}/channels/{queue}{'.history' if history else ''}/messages.dat"
 
