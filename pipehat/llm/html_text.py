@@ -40,8 +40,11 @@ NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors commercial "
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay lightbox newsletter subscribe subscription signup login "
     "social share sharing related recommended recommendations trending comment comments commentlist disqus reply replies respond discussion "
-    "pagination pager widget widgets search searchbox form skip hidden disclaimer copyright legal paywall teaser".split()
+    "pagination pager widget widgets search searchbox form skip hidden disclaimer copyright legal paywall teaser "
+    "commentbox commentsection commentarea commentthread commentform noticebox cookiebar cookiebanner adbox adslot adunit sidebox leftbar rightbar navmenu mainmenu topmenu sitemenu pageheader siteheader pagefooter sitefooter".split()
 )
+#: Beside one of these, `header` names an article's own header.
+ARTICLE_NAMES = frozenset("article post entry story content".split())
 #: Names of the part that holds the article; they aren't looked up in NEVER_NAMES.
 KEEP_ELEMENTS = frozenset(("html", "body", "article", "main"))
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
@@ -64,8 +67,10 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
             return True
         if k == "role" and v and v.strip().lower() in NEVER_ROLES:
             return True
-        if k in ("class", "id") and v and any(x.lower() in NEVER_NAMES for x in NAME_PARTS.findall(v)):
-            return True
+        if k in ("class", "id") and v:
+            names = [x.lower() for x in NAME_PARTS.findall(v)]
+            if any(x in NEVER_NAMES for x in names) or "header" in names and not in_article and not ARTICLE_NAMES.intersection(names):
+                return True
     return False
 
 
@@ -217,7 +222,7 @@ def region(lines: list[Line]) -> list[Line]:
     total = 0
     for i in picked:
         total += len(lines[i].text)
-        for k in lines[i].path:
+        for k in lines[i].path[:-1]:  # a line's own block holds but itself
             weight[k] = weight.get(k, 0) + len(lines[i].text)
     # the innermost element with nine tenths of the picked characters
     holder = max((k for k, w in weight.items() if 10 * w >= 9 * total), default=None)

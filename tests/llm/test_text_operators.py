@@ -158,6 +158,7 @@ def test_license_edges(odd):
         ("<body><div class='cookie-notice'>We use cookies</div><main><p>Text &lt;kept&gt; whole.</p></main></body>", "Text <kept> whole."),
         ("<article class='comment'><p>me too</p></article><article><p>" + "Long body. " * 20 + "</p></article>", ("Long body. " * 20).strip()),
         ("<div><ul><li><a href=x>a</a></li><li><a href=y>b</a></li></ul></div><div><h2>Head</h2><p>" + "word " * 40 + "</p><p>short</p><p>" + "more " * 40 + "</p></div>", "Head " + "word " * 40 + "short " + ("more " * 40).strip()),
+        ("<div class='header'>Site</div><div class='post-header'><h1>Title</h1></div><div id=commentbox>me</div><p>" + "word " * 30 + "</p>", "Title " + ("word " * 30).strip()),
         ("<!-- c --><article><p>a<!-- hidden -->b</p><noscript>n</noscript><template>t</template></article>", "ab"),
     ],
 )
