@@ -24,6 +24,8 @@ from pipehat.functions import hl7
 from pipehat.runtime import remove
 from pipehat.storage import Conflict, Manifest, exists
 
+#: Up to so many batches, a row of numbers each, their table is broadcast.
+BROADCAST_BATCHES = 100_000
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 LOG_SCHEMA = T.StructType(
     [
@@ -250,7 +252,7 @@ class QueueStore:
             rows = rows.where(F.col("offset").between(low, high - 1)).withColumns({"seq": F.col("offset") + first_seq, "msg_id": F.col("offset") + first_id, "queue": F.lit(name)})
         else:
             info = self.spark.createDataFrame([(k, p[0], p[2], p[3], p[4], p[5]) for k, p in table.items()], "folder string, queue string, first_seq bigint, first_id bigint, low bigint, high bigint")
-            rows = rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).join(F.broadcast(info), "folder")
+            rows = rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).join(F.broadcast(info) if len(parts) <= BROADCAST_BATCHES else info, "folder")
             rows = rows.where("offset >= low AND offset < high").withColumns({"seq": F.col("offset") + F.col("first_seq"), "msg_id": F.col("offset") + F.col("first_id")})
         for name, ranges in (lost or {}).items():
             for low, high in ranges:
