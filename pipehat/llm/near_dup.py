@@ -6,9 +6,11 @@ hash, so equal elements get equal darts in every text. Darts under an element's
 of those, each of the signature's coordinates keeps the one with the least rank. Two texts agree in a coordinate with the
 probability of their weighted Jaccard similarity.
 
-Texts that agree in all coordinates of a band meet in a bucket. Within a bucket every text is compared with the least one;
-those not similar enough meet again, without that one, until none is left, so no bucket is capped and no bucket emits all
-its pairs. A compared pair is verified on the whole texts. Links join to classes by connected components.
+Texts that agree in all coordinates of a band meet in a bucket. The most popular text of a bucket, which shares most buckets
+with most others, leads it: all others are compared with it, on their whole texts, and links join to classes by connected
+components. Where texts of several classes are left in a bucket, an exact similarity join by prefixes of rare shingles finds
+the links between them. So no bucket is capped, none emits all its pairs, and a dense one costs about as many comparisons as it
+has texts.
 
 Defined results: copies of a text share a class. A text of fewer than five words is one shingle of all its words; a text
 without words, or null, is like its exact copies only (nulls stay alone). A class is named by the least id in it. Repeated rows
@@ -23,7 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipehat.llm.arrow import map_batches, slices, strings
@@ -33,6 +35,8 @@ from pipehat.runtime import remove, written
 WORD = re.compile(r"\w+")
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Longs of 64 bits in a sketch.
+SKETCH_WORDS = 16
 CACHE_WORDS = 400_000
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Cumulated probabilities of 0 to 11 darts in a unit cell, by the rule of Poisson(1).
@@ -169,20 +173,21 @@ def text_key(text):
 
 
 def sign(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(id, key, bands) of every row whose text isn't null; bands is null where the text has no word."""
+    """(id, key, bands, total) of every row whose text isn't null; bands is null where the text has no word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, 2):
             of, s, w = weighted_sets(texts)
+            total = np.bincount(of, w, len(texts)).astype(np.int64)
             keys = band_keys(signatures(of, s, w, len(texts), bands * rows), bands, rows)
             some = np.bincount(of, minlength=len(texts)) > 0
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands, mask=np.r_[~some, False])
             lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(total)], names=["id", "key", "bands", "total"])
 
     kind = df.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    return map_batches(df.where(text.isNotNull()), [F.col(id_col).alias("id"), text_key(text).alias("key"), text.alias("text")], work, f"id {kind}, key binary, bands array<long>")
+    return map_batches(df.where(text.isNotNull()), [F.col(id_col).alias("id"), text_key(text).alias("key"), text.alias("text")], work, f"id {kind}, key binary, bands array<long>, total long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -205,34 +210,86 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return map_batches(both, ["a", "b", "text_a", "text_b"], work, "a binary, b binary, same boolean")
 
 
+def _led(members: DataFrame) -> DataFrame:
+    """(bucket, key, total, leader) of all members beside their bucket's most popular text."""
+    best = members.groupBy("bucket").agg(F.max(F.struct("popularity", "key")).alias("best"))
+    return members.join(best.select("bucket", F.col("best.key").alias("leader")), "bucket").where("key <> leader").select("bucket", "key", "total", "leader")
+
+
+def _open(led: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, label, total, lightest) of the texts that meet texts of other classes among those that don't lead their bucket;
+    lightest is the least total of what they meet there."""
+    now = led.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key"))
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("total").alias("lightest")).where("low <> high")
+    return now.join(mixed, "bucket").groupBy("key").agg(F.first("label").alias("label"), F.first("total").alias("total"), F.min("lightest").alias("lightest"))
+
+
+def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that may be similar enough; texts: (key, text, label, total, lightest).
+
+    Two texts that similar share a weight of at least least / (1 + least) of both totals. With every text's shingles in one
+    order, the rarest first, such texts share one among the first that leave less than that weight behind: so only those are
+    joined. Between edited copies of one text the rarest shingles are those of the edits, which few share. Pairs whose sketches
+    differ too much to be similar go within the join. Neither test can lose a link.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, own in slices(batches, 1):
+            of, h, w = weighted_sets(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(h.view(np.int64)), pa.array(w)], names=["key", "shingle", "weight"])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, own in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in sketch(*weighted_sets(own), len(own)).T)], names=["key", *(f"s{i}" for i in range(SKETCH_WORDS))])
+
+    rows = written(map_batches(texts, ["key", "text"], shingles, "key binary, shingle long, weight long"), "shingles")
+    sketched = map_batches(texts, ["key", "text"], sketches, "key binary, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)))
+    spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
+    order = Window.partitionBy("key").orderBy("spread", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.join(spread, "shingle").withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0)))
+    facts = texts.select("key", "label", "total", "lightest")
+    # a shingle counts while the weight from it on still reaches the least that a similar text must share
+    needed = (F.col("total") + F.col("lightest")) * (least / (1 + least)) - 1e-6
+    prefix = ranked.where("spread > 1").join(facts, "key").where((F.col("total") - F.col("before")) >= needed).select("shingle", "key", "label", "total")
+    # pairs of one class aren't wanted: of every two classes at least one isn't the shingle's largest
+    sizes = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    prefix = written(prefix.join(largest.drop("classes"), "shingle").join(sketched, "key"), "prefix")
+    one, two = (prefix.toDF(*(f"{c}{i}" if c != "shingle" else c for c in prefix.columns)) for i in (1, 2))
+    apart = sum((F.bit_count(F.col(f"s{i}1").bitwiseXOR(F.col(f"s{i}2"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    close = apart <= (F.col("total1") + F.col("total2")) * ((1 - least) / (1 + least)) + 1e-6
+    found = one.where("label1 <> largest1").join(two, "shingle").where((F.col("label1") != F.col("label2")) & close)
+    return found.select(F.greatest("key1", "key2").alias("a"), F.least("key1", "key2").alias("b")).distinct()
+
+
+def sketch(of: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
+    """64 * SKETCH_WORDS parities for each text: every occurrence of a shingle flips one bit. Two texts differ in at least as
+    many occurrences as their sketches in bits, which bounds their similarity from above."""
+    each = np.repeat(np.arange(len(of)), w)
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(w) - w, w)
+    with np.errstate(over="ignore"):
+        bit = (mix(h[each] + nth.astype(np.uint64) * GOLD) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
+    odd = np.bincount(of[each] * (64 * SKETCH_WORDS) + bit, minlength=texts * 64 * SKETCH_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(texts, SKETCH_WORDS)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of df: its id, class_id (the least id of its class) and is_representative (the id is that)."""
     spark = df.sparkSession
     signed = written(sign(df, id_col, text_col, bands, rows), "signed")
-    distinct = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "distinct")
-    members = distinct.where("bands IS NOT NULL").select("key", F.explode("bands").alias("bucket"))
-    done, texts, spent = None, None, [signed.path, distinct.path]
-    while True:
-        stats = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader <> last").drop("last")
-        led = written(members.join(stats, "bucket").where("key <> leader"), "led")
-        pairs = led.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        else:  # every later pair is of texts that met here
-            need = led.select("key").unionAll(led.select("leader")).distinct()
-            texts = written(_fetch(df, id_col, text_col, need.join(distinct.select("key", "id"), "key")), "texts")
-            spent.append(texts.path)
-        compared = written(verify(pairs, texts, least), "compared")
-        done = compared if done is None else done.unionAll(compared)
-        spent += [compared.path, led.path]
-        # texts unlike their leader meet again without it
-        left = led.join(done.where("NOT same").select(F.col("a").alias("key"), F.col("b").alias("leader")), ["key", "leader"]).select("key", "bucket")
-        alone = left.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
-        members = written(left.join(alone, "bucket"), "members")
-        spent.append(members.path)
-        if not members.take(1):
-            break
-    roots = components(done.where("same").select("a", "b"))
+    distinct = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total")), "distinct")
+    members, spent = _meetings(distinct), [signed.path, distinct.path]
+    spent.append(members.path)
+    texts = written(_fetch(df, id_col, text_col, members.select("key").distinct().join(distinct.select("key", "id"), "key")), "texts")
+    spent.append(texts.path)
+    led = written(_led(members), "led")
+    compared = written(verify(led.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct(), texts, least), "compared")
+    labels = written(components(compared.where("same").select("a", "b")), "labels")
+    rest = written(texts.join(_open(led, labels), "key"), "rest")
+    pairs = _prefix_pairs(rest, least).join(compared, ["a", "b"], "left_anti")
+    more = written(verify(pairs, rest.select("key", "text"), least), "compared")
+    spent += [led.path, compared.path, labels.path, rest.path, more.path]
+    roots = components(compared.unionAll(more).where("same").select("a", "b"))
     named = signed.select("id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("class_id"))
     out = named.join(names, "root").select(F.col("id").alias(id_col), "class_id")
@@ -242,6 +299,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return result
 
 
+def _meetings(distinct: DataFrame) -> DataFrame:
+    """(bucket, key, total, popularity) of the texts that meet others: popularity sums the sizes of a text's buckets."""
+    rows = distinct.where("bands IS NOT NULL").select("key", "total", F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = written(rows.join(sizes, "bucket"), "met")
+    popular = met.groupBy("key").agg(F.sum("n").alias("popularity"))
+    out = written(met.drop("n").join(popular, "key"), "members")
+    remove(distinct.sparkSession, met.path)
+    return out
+
+
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of df, all columns, one of each class: that with the least id. Repeated ids stay once; rows without an id
     stay once for each text."""
