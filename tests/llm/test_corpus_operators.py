@@ -74,6 +74,19 @@ def test_weights_count():
     assert w.sum() == 16 + 1 and of.tolist() == sorted(of.tolist()) and len(s) == 6
 
 
+def test_sketches_never_hide_a_link():
+    rnd = random.Random(12)
+    base = text_of(rnd, 150)
+    texts = [base, *(edited(rnd, base, k) for k in (1, 2, 4, 9)), base + " " + base, "", "one", text_of(rnd, 3000)]
+    sketches = near_dup.sketch(*near_dup.weighted_sets(texts), len(texts)).view(np.uint64)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            a, b = shingles(texts[i]), shingles(texts[j])
+            bits = sum(int(x).bit_count() for x in sketches[i] ^ sketches[j])
+            assert bits <= sum((a - b).values()) + sum((b - a).values())
+    assert 35 < sum(int(x).bit_count() for x in sketches[0] ^ sketches[3]) <= 40
+
+
 def test_near_duplicates_by_force(spark):
     rnd = random.Random(4)
     base, other, short = text_of(rnd, 120), text_of(rnd, 120), text_of(rnd, 60)
@@ -223,6 +236,17 @@ def test_fingerprints_of_a_ring(spark, per_range, monkeypatch):
         assert g.fingerprint == own.text() and g.near_next == own.likeness(fingerprint.Print(following)) and g.near_edited == own.likeness(fingerprint.Print(new))
 
 
+def test_numbers_of_ranges(spark):
+    rnd = random.Random(3)
+    for low, high in ((0, 50), (-(2**63), 2**63 - 1), (10**12, 10**12 + 10**6), (7, 7)):
+        ids = sorted({low, high, *(rnd.randint(low, high) for _ in range(200)), *(min(high, low + i) for i in range(60))})
+        cuts = sorted(set(rnd.sample(ids, min(len(ids), 40))))
+        df = spark.createDataFrame([(i,) for i in ids], "x bigint")
+        for cells in (4, 4096):
+            assert [r.n for r in df.select(fingerprint.above(F.col("x"), cuts, low, high, cells).alias("n")).collect()] == [sum(c >= i for c in cuts) for i in ids]
+    assert df.select(fingerprint.above(F.col("x"), [], None, None).alias("n")).first().n == 0
+
+
 def test_fingerprint_edges(spark):
     schema = "doc_id bigint, text string"
     assert fingerprint.fingerprints(spark.createDataFrame([], schema)).count() == 0
