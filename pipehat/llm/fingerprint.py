@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipehat.llm.arrow import map_batches, slices, strings
@@ -168,7 +169,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def in_ring(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 20_000) -> DataFrame:
+def above(x: Column, cuts: list[int], low: int | None, high: int | None, cells: int = 4096) -> Column:
+    """How many of the rising cuts are at least x, for low <= x <= high: a table by x's leading bits gives the answer but for
+    the few cuts in x's own cell, which are compared."""
+    if not cuts:
+        return F.lit(0)
+    shift = max(0, (high - low).bit_length() - cells.bit_length() + 1)
+    first = low >> shift
+    starts = [bisect_left(cuts, (first + k) << shift) for k in range((high >> shift) - first + 2)]
+    cell = F.shiftright(x, shift) - F.lit(first)
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (cell + 1).cast("int"))
+    here = F.slice(F.array(*map(F.lit, cuts)), at([k + 1 for k in starts[:-1]]), at([b - a for a, b in zip(starts, starts[1:], strict=False)]))
+    return at([len(cuts) - k for k in starts[1:]]) + F.size(F.filter(here, lambda c: c >= x))
+
+
+def in_ring(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 4_000) -> DataFrame:
     """(range, id, text, guest): all rows dealt into ranges of falling ids, and as guest the row that follows each range's last.
 
     Bounds come from approximate percentiles of the ids; each range's first row is found by one aggregation of ids and joined
@@ -176,13 +191,12 @@ def in_ring(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 20_
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    n = df.count()
-    ranges = max(1, min(10_000, n // rows_per_range))
+    about = rows.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    ranges = max(1, min(10_000, about.n // rows_per_range))
     cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first().c if ranges > 1 else []
     cuts = sorted(set(cuts or []))
     # ranges are numbered downwards from the highest ids; null ids come last
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    number = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("id")))).cast("int")
+    number = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(above(F.col("id"), cuts, about.low, about.high)).cast("int")
     rows = rows.withColumn("range", number)
     # the first row of a range: highest id, then least text by hash
     heads = rows.groupBy("range").agg(F.max(F.struct(F.col("id"), F.md5("text").alias("tie"))).alias("head"))
