@@ -183,8 +183,9 @@ class QueueStore:
         t = int(self.clock()) if timestamp is None else timestamp
         return self.insert_frame(queue, self.spark.createDataFrame([(raw, t)], "raw_message string, timestamp bigint"), [])[0]
 
-    def insert_frame(self, queue: str, df: DataFrame, order_by: Sequence[Column | str]) -> tuple[int, int]:
-        """All rows of df (raw_message and, if it has it, timestamp), in the given order; (first id, number).
+    def insert_frame(self, queue: str, df: DataFrame, order_by: Sequence[Column | str], also: Callable[[dict], object] | None = None) -> tuple[int, int]:
+        """All rows of df (raw_message and, if it has it, timestamp), in the given order; (first id, number). `also` edits the
+        manifest in the same commit.
 
         Rows are dealt into ranges of the order and written as they are; the ranges' sizes then give each row its place.
         """
@@ -217,6 +218,8 @@ class QueueStore:
                 q.batches.append(f"{batch}-{first_seq}-{first_id}-{n}")
                 q.tail += n
                 doc["next_id"] += n
+                if also:
+                    also(doc)
                 return first_id, n
 
             parsed.write.parquet(f"{self.root}/data/{batch}")
@@ -226,6 +229,8 @@ class QueueStore:
                 remove(self.spark, f"{self.root}/data/{batch}", staged)
                 raise
         else:
+            if also:
+                self.change(also)
             out = (self.state()[1]["next_id"], 0)
         remove(self.spark, staged)
         return out

@@ -20,13 +20,13 @@ def stream_messages(spark: SparkSession, folder: str, numbering: str = "as_coded
 
 def into_queue(messages: DataFrame, store: QueueStore, queue: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append a stream to a queue, each batch in order of its ids. A batch that is run again after a failure is recognised by
-    its number, which the queue's manifest keeps."""
+    its number, which the queue's manifest gets in the same commit as the rows."""
 
     def add(batch: DataFrame, number: int) -> None:
         done = store.state()[1].get("streams", {}).get(checkpoint, -1)
         if number > done:
-            store.insert_frame(queue, batch.select("raw_message", "timestamp", "msg_id"), ["msg_id"])
-            store.change(lambda doc: doc.setdefault("streams", {}).update({checkpoint: number}))
+            taken = lambda doc: doc.setdefault("streams", {}).update({checkpoint: number})
+            store.insert_frame(queue, batch.select("raw_message", "timestamp", "msg_id"), ["msg_id"], taken)
 
     return _start(messages.writeStream.foreachBatch(add), checkpoint, once)
 
