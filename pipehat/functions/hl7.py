@@ -64,12 +64,13 @@ def parts(x: Column, sep: Column) -> Column:
 
 
 def part(x: Column, sep: Column, i: int) -> Column:
-    """Part number i (from 0) of x, NULL beyond the last; without arrays or regexes."""
+    """Part number i (from 0) of x, NULL beyond the last; without arrays or regexes, and naming x once, so that expressions
+    built of it stay small."""
     if i == 0:
-        return F.substring_index(x, sep, 1) if isinstance(sep, str) else F.call_function("substring_index", x, sep, F.lit(1))
-    seps = F.length(x) - F.length(F.replace(x, sep, F.lit("")))
-    first = F.call_function("substring_index", x, sep, F.lit(i + 1))
-    return F.when(seps >= i, F.call_function("substring_index", first, sep, F.lit(-1)))
+        return F.call_function("substring_index", x, sep, F.lit(1))
+    # a mark before each part tells an empty part from none
+    marked = F.concat(F.lit("\x01"), F.replace(x, sep, F.concat(sep, F.lit("\x01"))))
+    return F.substring(F.nullif(F.split_part(marked, sep, F.lit(i + 1)), F.lit("")), 2, 2**31 - 1)
 
 
 def has(x: Column, sep: Column) -> Column:
