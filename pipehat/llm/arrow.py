@@ -5,20 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pipehat.runtime import ship
 
 #: Characters of text that a worker handles at a time, so that memory doesn't follow the batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+#: Bounds of the batches that Spark hands over, where the session says nothing.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def map_batches(df: DataFrame, columns: Sequence[Column | str], work: Callable, schema: str) -> DataFrame:
     """mapInArrow over just these columns; other columns, whatever their names, are not read."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(*columns).mapInArrow(work, schema)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the code and bound the batches."""
+    ship(spark)
+    for key, bound in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, bound)
+
+
+_caches: list[dict] = []
+
+
+def claim(cache: dict) -> None:
+    """Empty the caches of other operators that have run in this worker: one works at a time."""
+    for other in _caches:
+        if other is not cache:
+            other.clear()
+    _caches[:] = [cache]
+
+
 def strings(column: pa.Array) -> list[str | None]:
     """The column's strings; bytes that aren't UTF-8 become U+FFFD."""
     try:
@@ -58,7 +79,7 @@ def rewrite(df: DataFrame, text_col: str, work: Callable[[list[str | None]], tup
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch if stay is None else batch.filter(pa.array(stay, pa.bool_()))
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*names)
     return plain.mapInArrow(over, plain.schema).toDF(*df.columns)

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipehat.llm.arrow import map_batches, slices
+from pipehat.llm.arrow import claim, map_batches, slices
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Texts of these characters alone are normalised and split here; any other text goes through the library's own normaliser.
 PLAIN = re.compile(r"[\x09\x0A\x0D\x20-\x7E¡-¬®-įı-ž‐-‧€]*+")
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿĀ-ž", "0-9²³¹¼-¾"  # of PLAIN texts in lower case
@@ -173,6 +173,7 @@ class Model:
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         parts = [self.parts(t) if t else [] for t in texts]
+        claim(self.cache)
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipehat.llm.arrow import map_batches, rewrite, slices, strings
+from pipehat.llm.arrow import claim, map_batches, rewrite, slices, strings
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-MAX_DOCS_PER_LANG, TOP_WORDS, MAX_GRAM, CACHE_WORDS = 2500, 80_000, 5, 300_000
+MAX_DOCS_PER_LANG, TOP_WORDS, MAX_GRAM, CACHE_WORDS = 2500, 80_000, 5, 100_000
 #: A word's length beyond which only its ends are looked up whole; the n-grams still cover all of it.
 EDGE = {"start": "\x02", "end": "\x03"}
 
@@ -80,6 +80,7 @@ class Model:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.langs or not any(words):
             return langs, scores
+        claim(self.cache)
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         number = {w: i for i, w in enumerate(set(chain.from_iterable(words)))}

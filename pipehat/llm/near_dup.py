@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipehat.llm.arrow import map_batches, slices, strings
+from pipehat.llm.arrow import claim, map_batches, slices, strings
 from pipehat.llm.components import components
 from pipehat.runtime import remove, written
 
@@ -37,7 +37,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Longs of 64 bits in a sketch.
 SKETCH_WORDS = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Cumulated probabilities of 0 to 11 darts in a unit cell, by the rule of Poisson(1).
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)]))
@@ -62,6 +62,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     from hashlib import blake2b
 
     cache = _word_hashes
+    claim(cache)
     if len(cache) > CACHE_WORDS:
         cache.clear()
     for w in set(words).difference(cache):

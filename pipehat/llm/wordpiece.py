@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipehat.llm.arrow import map_batches, slices
+from pipehat.llm.arrow import claim, map_batches, slices
 from pipehat.llm.bpe import byte_alphabet
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 class Automaton:
@@ -83,6 +83,7 @@ class Automaton:
     def lengths(self, words: list[str]) -> list[int]:
         """Pieces of each word, a space put before it."""
         cache = self.cache
+        claim(cache)
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in set(words).difference(cache):
