@@ -5,7 +5,8 @@ its characters inside links, its tags and its place in the tree. Elements that n
 menus, page headers and footers, sidebars, notices, adverts, reader comments) are left out by name, role or class. The
 others' text-to-tag ratios, smoothed by a Gaussian, fall into two clusters; the element that holds the lines of the higher
 cluster is the content region, and all its lines between the first and last of that cluster, with headings and paragraphs
-that touch them, are the text.
+that touch them, are the text. Where `<article>` and `<main>` elements hold most characters of the higher cluster, those that
+hold any are the region and stay whole; where they don't, they are elements like others.
 
 White space inside a line becomes one space; lines are joined by one space. Null, empty or textless html gives an empty text
 and 0 characters. Rows are independent: ties, repeated rows and null ids pass through.
@@ -195,7 +196,7 @@ def threshold(values: list[float]) -> float:
     logs = [math.log1p(v) for v in values]
     lo, hi = min(logs), max(logs)
     if hi - lo < 1e-9:
-        return math.expm1(lo)
+        return min(values)
     for _ in range(50):
         mid = (lo + hi) / 2
         low, high = [x for x in logs if x < mid], [x for x in logs if x >= mid]
@@ -210,15 +211,17 @@ def region(lines: list[Line]) -> list[Line]:
     """The lines of the content region."""
     ratios = smooth([x.ratio for x in lines])
     cut = threshold(ratios)
+    prose = [i for i, x in enumerate(lines) if 2 * x.linked <= len(x.text)]
+    picked = [i for i in prose if ratios[i] >= cut] or prose
     weight: dict[int, int] = {}
-    picked = [i for i, r in enumerate(ratios) if r >= cut and 2 * lines[i].linked <= len(lines[i].text)]
-    if any(x.article for x in lines):  # marked by the page itself: the one with most of the cluster's characters, whole
-        for i in picked:
-            weight[lines[i].article] = weight.get(lines[i].article, 0) + len(lines[i].text)
-        best = max((a for a in {x.article for x in lines} if a), key=lambda a: (weight.get(a, 0), -a))
-        return [x for x in lines if x.article == best and (2 * x.linked <= len(x.text) or x.heading)]
+    for i in picked:
+        weight[lines[i].article] = weight.get(lines[i].article, 0) + len(lines[i].text)
+    # the page's own marks bound the region where they hold most of the cluster's characters, and stay whole
+    if 2 * weight.get(0, 0) < sum(weight.values()):
+        return [x for x in lines if x.article and x.article in weight and (2 * x.linked <= len(x.text) or x.heading)]
     if not picked:
         return []
+    weight.clear()
     total = 0
     for i in picked:
         total += len(lines[i].text)

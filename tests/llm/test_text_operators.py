@@ -166,6 +166,20 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_clusters_choose_the_region_beside_marked_elements():
+    prose = [f"{w} " + "text of the page " * 20 for w in ("one", "two", "three")]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    want = " ".join(x.strip() for x in prose)
+    # a marked card that holds little or nothing of the cluster isn't the region
+    assert html_text.main_text(f"<body><article><h3>Tip</h3></article><div>{body}</div></body>") == want
+    assert html_text.main_text(f"<body><article><p>A short card.</p></article><div>{body}</div></body>").endswith(want)
+    # of several marked elements all that hold lines of the cluster stay
+    assert html_text.main_text("<body>" + "".join(f"<article><p>{x}</p></article>" for x in prose) + "<article><p>me too</p></article></body>").startswith(want)
+    # one line, and lines of one ratio, are a cluster of their own
+    for n in range(1, 60):
+        assert html_text.main_text(f"<div><p>{'x' * n}</p></div>") == "x" * n
+
+
 def test_pages_give_their_articles(spark):
     import html as entities
 
