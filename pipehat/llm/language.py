@@ -5,8 +5,8 @@ longest length at which any of them is known, from MAX_GRAM down to 1. A text's
 words; the prediction's score is its posterior under equal priors.
 
 Training reads at most about MAX_DOCS_PER_LANG labelled rows of each language, chosen by a hash of the id (the bound is on
-the expected number); their words are counted where they lie and only the TOP_WORDS most frequent (language, word) counts
-reach the driver. Defined results: null texts and texts without a letter are `und` with score 0; rows with a null label train
+the expected number); their words and n-grams are counted where they lie, all of them, and those seen twice at least, in
+whatever languages, reach the driver. Defined results: null texts and texts without a letter are `und` with score 0; rows with a null label train
 nothing; with nothing to train on every text is `und`; ties between languages go to the first by name.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipehat.llm.arrow import claim, map_batches, rewrite, slices, strings
+from pipehat.runtime import remove, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-MAX_DOCS_PER_LANG, TOP_WORDS, MAX_GRAM, CACHE_WORDS = 2500, 80_000, 5, 100_000
+MAX_DOCS_PER_LANG, MAX_GRAM, CACHE_WORDS = 2500, 5, 100_000
 #: A word's length beyond which only its ends are looked up whole; the n-grams still cover all of it.
 EDGE = {"start": "\x02", "end": "\x03"}
 
@@ -40,40 +41,67 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
+def with_grams(counts: dict[tuple[str, str], int]) -> dict[tuple[int, str, str], int]:
+    """(size, text, language): counts of words (size 0) and of their n-grams (size n)."""
+    out: dict[tuple[int, str, str], int] = Counter()
+    for (lang, word), k in counts.items():
+        out[0, word, lang] += k
+        for n in range(1, MAX_GRAM + 1):
+            for g in grams(word, n):
+                out[n, g, lang] += k
+    return out
+
+
+class Table:
+    """Log frequencies of texts in each language, less their mean over the languages."""
+
+    def __init__(self, counts: dict[str, dict[str, int]], langs: list[str]):
+        at = {lang: i for i, lang in enumerate(langs)}
+        self.rows = {t: i for i, t in enumerate(counts)}
+        c = np.zeros((len(counts), len(langs)))
+        for i, by_lang in enumerate(counts.values()):
+            for lang, n in by_lang.items():
+                c[i, at[lang]] = n
+        c += 0.5
+        self.logs = np.log(c / c.sum(axis=0))
+        self.logs -= self.logs.mean(axis=1, keepdims=True) if langs else 0
+
+
 class Model:
-    """Log frequencies of words and n-grams, less their mean over the languages."""
+    """Tables of words and n-grams that were seen twice at least, in whatever languages."""
 
     def __init__(self, counts: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
+        total: dict[tuple[str, str], int] = Counter()
         for lang, word, n in counts:
-            by_word[word][at[lang]] += n
-        self.words = self._logs({w: c for w, c in by_word.items() if c.sum() >= 2})
-        self.grams: dict[int, dict[str, tuple[float, ...]]] = {}
-        for n in range(1, MAX_GRAM + 1):
-            total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-            for w, c in by_word.items():
-                for g in grams(w, n):
-                    total[g] += c
-            self.grams[n] = self._logs({g: c for g, c in total.items() if c.sum() >= 2})
-        self.cache: dict[str, tuple[float, ...]] = {}
-
-    def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, tuple[float, ...]]:
-        if not counts:
-            return {}
-        c = np.array(list(counts.values())) + 0.5
-        logs = np.log(c / c.sum(axis=0))
-        logs -= logs.mean(axis=1, keepdims=True)
-        return dict(zip(counts, map(tuple, logs.tolist()), strict=True))
-
-    def unseen(self, word: str) -> tuple[float, ...]:
+            total[lang, word] += n
+        by: dict[tuple[int, str], dict[str, int]] = defaultdict(dict)
+        for (size, text, lang), n in with_grams(total).items():
+            by[size, text][lang] = n
+        self._build(sorted({lang for lang, _ in total}), ((size, text, c) for (size, text), c in by.items()))
+
+    @classmethod
+    def of(cls, langs: list[str], counted: Iterable[tuple[int, str, dict[str, int]]]) -> Model:
+        """The model of counts by size and text, each once, with its count in each language that has it."""
+        out = cls.__new__(cls)
+        out._build(sorted(langs), counted)
+        return out
+
+    def _build(self, langs: list[str], counted: Iterable[tuple[int, str, dict[str, int]]]) -> None:
+        self.langs = langs
+        kept: list[dict[str, dict[str, int]]] = [{} for _ in range(MAX_GRAM + 1)]
+        for size, text, by_lang in counted:
+            if sum(by_lang.values()) >= 2:
+                kept[size][text] = by_lang
+        self.words, *self.grams = [Table(x, langs) for x in kept]
+        self.cache: dict[str, np.ndarray] = {}
+
+    def unseen(self, word: str) -> np.ndarray:
         for n in range(MAX_GRAM, 0, -1):
-            table = self.grams[n]
-            known = [x for g in grams(word, n) if (x := table.get(g))]
+            table = self.grams[n - 1]
+            known = [i for g in grams(word, n) if (i := table.rows.get(g)) is not None]
             if known:
-                return tuple(sum(x) / len(known) for x in zip(*known, strict=True))
-        return (0.0,) * len(self.langs)
+                return table.logs[known].mean(axis=0)
+        return np.zeros(len(self.langs))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [words_of(t) for t in texts]
@@ -84,14 +112,16 @@ class Model:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         number = {w: i for i, w in enumerate(set(chain.from_iterable(words)))}
-        known, cache = self.words, self.cache
-        rows = []
-        for w in number:
-            x = known.get(w) or cache.get(w)
-            if x is None:
-                x = cache[w] = self.unseen(w)
-            rows.append(x)
-        table = np.array(rows)
+        cache = self.cache
+        known = np.array([self.words.rows.get(w, -1) for w in number])
+        table = np.empty((len(number), len(self.langs)))
+        table[known >= 0] = self.words.logs[known[known >= 0]]
+        for w, i in number.items():
+            if known[i] < 0:
+                x = cache.get(w)
+                if x is None:
+                    x = cache[w] = self.unseen(w)
+                table[i] = x
         lengths = np.array([len(x) for x in words])
         some = np.flatnonzero(lengths)
         flat = table[np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)]
@@ -120,12 +150,22 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
             for lang, t in zip(strings(batch.column(0)), texts, strict=True):
                 for w, k in Counter(words_of(t)).items():
                     c[lang, w] += k
-            keys = list(c)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([c[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
-
-    counted = map_batches(chosen, [F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")], count_words, "lang string, word string, n long")
-    top = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(TOP_WORDS)
-    return Model([(r.lang, r.word, r.n) for r in top.collect()])
+            counts = with_grams(c)
+            keys = list(counts)
+            columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["size", "word", "lang", "n"])
+
+    counted = map_batches(chosen, [F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")], count_words, "size int, word string, lang string, n long")
+    by_lang = written(counted.groupBy("size", "word", "lang").agg(F.sum("n").alias("n")), "counts")
+    try:
+        langs = [r.lang for r in by_lang.where("size = 0").select("lang").distinct().collect()]
+        pairs = F.collect_list(F.struct("lang", "n")).alias("pairs")
+        # what was seen once is in no table
+        seen = by_lang.groupBy("size", "word").agg(F.sum("n").alias("n"), pairs).where("n >= 2").select("size", "word", "pairs.lang", "pairs.n").toArrow()
+    finally:
+        remove(df.sparkSession, by_lang.path)
+    rows = (zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in seen.to_batches(max_chunksize=10_000))
+    return Model.of(langs, ((size, word, dict(zip(ls, ns, strict=True))) for size, word, ls, ns in chain.from_iterable(rows)))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -224,6 +224,24 @@ def test_language_edges(spark, odd):
     assert language.train(odd.limit(0).withColumn("lang", F.lit("x")), F.lit(True)).langs == []
 
 
+def test_training_keeps_all_counts_of_its_rows(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    # many words of the first language by name, seen twice, and one rare language whose words are seen once
+    rows = [(k, " ".join(name(i) for i in range(k // 2 * 2500, k // 2 * 2500 + 2500)), "aa") for k in range(80)] + [(100, "ωκεανός θάλασσα", "zz")]
+    m = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert m.langs == ["aa", "zz"] and len(m.words.rows) == 100_000
+    assert m.predict(["θάλασσα ωκεανός", name(7) + " " + name(99_999)])[0] == ["zz", "aa"]
+    # the tables counted by executors are those of all counts at once
+    few = [(1, "the house the home", "en"), (2, "das haus the hut", "de"), (3, None, "de"), (4, "12 !!", "fr")]
+    counts = [("en", "the", 2), ("en", "house", 1), ("en", "home", 1), ("de", "das", 1), ("de", "haus", 1), ("de", "the", 1), ("de", "hut", 1)]
+    m, plain = language.train(spark.createDataFrame(few, "doc_id bigint, text string, lang string"), F.lit(True)), language.Model(counts)
+    assert m.langs == plain.langs == ["de", "en"]
+    for a, b in zip([m.words, *m.grams], [plain.words, *plain.grams], strict=True):
+        assert a.rows.keys() == b.rows.keys()
+        assert all(a.logs[a.rows[t]] == pytest.approx(b.logs[b.rows[t]]) for t in a.rows)
+
+
 # -- secrets ------------------------------------------------------------------------------------------------------------
 def plain_spans(text):
     """The patterns as given, leftmost and non-overlapping for each kind, failing ones dropped afterwards."""
