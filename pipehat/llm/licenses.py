@@ -1,6 +1,6 @@
 """License scan: ordered signature rules behind a keyword prefilter, with containment suppression.
 
-A text is lower-cased (A-Z only) and every rule whose keywords all occur in it runs its regex over the whole text. Detections
+A text is lower-cased (A-Z only) and every rule whose keywords, words its regex can't match without, all occur in it runs its regex over the whole text. Detections
 are taken by priority, then length, then place; one that lies inside a kept detection is suppressed. Base phrases are found
 apart from the rules and always stay.
 
@@ -10,6 +10,8 @@ Null or empty text: no words, no labels, score 0. Each row stands alone, so ties
 from __future__ import annotations
 
 import re
+import re._constants as sre
+import re._parser as sre_parse
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +27,7 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isascii() and chr(b).isalnum() else 32 for b in range(256))
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
 
-# Signature rules, one to a line: label | priority | keywords | regex. A space in a regex stands for any run of non-word
+# Signature rules, one to a line: label | priority | hint | regex; keywords come from the regex. A space in a regex stands for any run of non-word
 # characters. Priorities: 90 identifier tags and urls, 80 full texts, 70 full names with a version, 60 full names, 50 notices
 # and short names, 30 hints.
 RULES_TEXT = r"""
@@ -287,21 +289,44 @@ dual-license | 45 | dual-licensed | dual-licensed under
 """.strip()
 
 
+def needed(tree) -> list[frozenset[str]]:
+    """Sets of words, one of each of which stands in whatever a parsed regex matches: its runs of letters and digits, and for
+    a choice the longest that each of its alternatives needs."""
+    out, run = [], ""
+    for op, value in [*tree, (None, None)]:
+        if op is sre.LITERAL and chr(value).isalnum():
+            run += chr(value)
+            continue
+        if run:
+            out.append(frozenset((run,)))
+            run = ""
+        if op is sre.SUBPATTERN:
+            out += needed(value[3])
+        elif op is sre.BRANCH and all(parts := [needed(x) for x in value[1]]):
+            out.append(frozenset().union(*(max(x, key=rarity) for x in parts)))
+    return out
+
+
+def rarity(words: frozenset[str]) -> int:
+    return min(map(len, words))
+
+
 class Rule:
     def __init__(self, line: str):
-        label, priority, keywords, pattern = (x.strip() for x in line.split(" | ", 3))
+        label, priority, _, pattern = (x.strip() for x in line.split(" | ", 3))
         self.label, self.priority = label, int(priority)
-        # a keyword's spaces stand for any gap too, so the prefilter looks for its words
-        self.keywords = tuple(dict.fromkeys(w for k in keywords.split(",") for w in k.split()))
-        self.regex = re.compile(pattern.replace(" ?", "\x00").replace(" ", r"[^\w]{1,80}?").replace("\x00", r"[^\w]{0,80}?"))
+        # a space stands for any gap; the prefilter asks only for words that the regex can't match without
+        self.regex = re.compile(pattern.replace(" ?", "\x00").replace(" ", r"[^\w]+?").replace("\x00", r"[^\w]*?"))
+        self.keywords = tuple(dict.fromkeys(needed(sre_parse.parse(self.regex.pattern))))
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[list[Rule], dict[str, list[Rule]]]:
-    """All rules in order, and the rules by their rarest (longest) keyword."""
+    """All rules in order, and the rules by the words of their rarest (longest) keyword."""
     out, by = [Rule(x) for x in RULES_TEXT.splitlines()], {}
     for r in out:
-        by.setdefault(max(r.keywords, key=len), []).append(r)
+        for k in max(r.keywords, key=rarity):
+            by.setdefault(k, []).append(r)
     return out, by
 
 
@@ -320,10 +345,9 @@ def detections(low: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of what stays of the rules' matches in a lower-cased text, by place."""
     _, by = rules()
     found = []
-    for key in {k for _, k in keyword_automaton().iter(low)}:
-        for r in by[key]:
-            if all(k in low for k in r.keywords):
-                found += [(m.start(), m.end(), r.label, r.priority) for m in r.regex.finditer(low)]
+    for r in {id(r): r for key in {k for _, k in keyword_automaton().iter(low)} for r in by[key]}.values():
+        if all(any(w in low for w in k) for k in r.keywords):
+            found += [(m.start(), m.end(), r.label, r.priority) for m in r.regex.finditer(low)]
     found.sort(key=lambda x: (-x[3], x[0] - x[1], x[0], x[2]))
     return sorted(suppress(found))
 

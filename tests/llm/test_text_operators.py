@@ -142,6 +142,19 @@ def test_license_rules():
     assert kept == plain
 
 
+def test_license_keywords_are_implied_by_their_regex():
+    labels = lambda t: [x[2] for x in licenses.detections(t)]
+    for t, label in [("mit licence", "mit"), ("the mozilla public licence", "mpl"), ("open government license", "ogl-uk"), ("open rail m", "openrail"), ("mit" + " *" * 200 + "license", "mit")]:
+        assert labels(t) == [label] == labels(t + " with a license and a licence")[:1]
+    for r in licenses.rules()[0]:
+        assert r.keywords
+        # what a rule matches in its own pattern's plain readings has one word of each of its keywords
+        for spelling in ("c", "s"):
+            plain = re.sub(r"\(\?:([^()|]*)\)\??", r"\1", r.regex.pattern.replace(r"[^\w]+?", " ").replace(r"[^\w]*?", " ")).replace("[sc]", spelling).replace("\\", "")
+            for m in r.regex.finditer(plain):
+                assert all(any(w in m[0] for w in k) for k in r.keywords)
+
+
 def test_license_edges(odd):
     got = by_id(licenses.scan(odd))
     assert (got[0].n_words, got[0].score, got[0].first_word, got[0].labels) == (0, 0.0, None, "") and got[3].labels == "mit" and got[7].n_words == 30_000
