@@ -6,7 +6,8 @@ menus, page headers and footers, sidebars, notices, adverts, reader comments) ar
 others' text-to-tag ratios, smoothed by a Gaussian, fall into two clusters; the element that holds the lines of the higher
 cluster is the content region, and all its lines between the first and last of that cluster, with headings and paragraphs
 that touch them, are the text. Where `<article>` and `<main>` elements hold most characters of the higher cluster, those that
-hold any are the region and stay whole; where they don't, they are elements like others.
+hold any are the region and stay whole; where they don't, they are elements like others. Links count when the region is chosen; inside
+it lines of links are text.
 
 White space inside a line becomes one space; lines are joined by one space. Null, empty or textless html gives an empty text
 and 0 characters. Rows are independent: ties, repeated rows and null ids pass through.
@@ -212,13 +213,13 @@ def region(lines: list[Line]) -> list[Line]:
     ratios = smooth([x.ratio for x in lines])
     cut = threshold(ratios)
     prose = [i for i, x in enumerate(lines) if 2 * x.linked <= len(x.text)]
-    picked = [i for i in prose if ratios[i] >= cut] or prose
+    picked = [i for i in prose if ratios[i] >= cut] or prose or [i for i, x in enumerate(lines) if x.article]
     weight: dict[int, int] = {}
     for i in picked:
         weight[lines[i].article] = weight.get(lines[i].article, 0) + len(lines[i].text)
     # the page's own marks bound the region where they hold most of the cluster's characters, and stay whole
     if 2 * weight.get(0, 0) < sum(weight.values()):
-        return [x for x in lines if x.article and x.article in weight and (2 * x.linked <= len(x.text) or x.heading)]
+        return [x for x in lines if x.article and x.article in weight]
     if not picked:
         return []
     weight.clear()
@@ -236,7 +237,7 @@ def region(lines: list[Line]) -> list[Line]:
         first -= 1
     while last < inside[-1] and lines[last + 1].path[:-1] == lines[last].path[:-1] and not lines[last + 1].linked and lines[last + 1].tags <= 2:
         last += 1
-    return [lines[i] for i in inside if first <= i <= last and (2 * lines[i].linked <= len(lines[i].text) or lines[i].heading)]
+    return [lines[i] for i in inside if first <= i <= last]
 
 
 def main_text(html: str | None) -> str:

@@ -193,6 +193,17 @@ def test_clusters_choose_the_region_beside_marked_elements():
         assert html_text.main_text(f"<div><p>{'x' * n}</p></div>") == "x" * n
 
 
+def test_links_inside_the_region_are_text():
+    prose = "words of the page " * 20
+    inner = f"<p>{prose}</p><p><a href=x>See the full report</a></p><ul><li><a href=y>First reference</a></li></ul><table><tr><td><a href=z>Name</a></td></tr></table><p>{prose}</p>"
+    want = f"{prose}See the full report First reference Name {prose.strip()}"
+    menu = "<div><ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul></div>"
+    assert html_text.main_text(f"<body>{menu}<article>{inner}</article></body>") == want
+    assert html_text.main_text(f"<body>{menu}<div>{inner}</div></body>") == want
+    assert html_text.main_text(f"<article>{inner}<p><a href=x>Last link</a></p></article>") == want + " Last link"
+    assert html_text.main_text("<article><ul><li><a href=y>One</a></li><li><a href=z>Two</a></li></ul></article>") == "One Two"
+
+
 def test_pages_give_their_articles(spark):
     import html as entities
 
