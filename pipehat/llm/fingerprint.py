@@ -1,47 +1,51 @@
 """Document fingerprints of statistically improbable features.
 
-Every window of WINDOW bytes has a Shannon entropy and, by how rare that entropy is in ordinary text, a rank. Of each POPULAR
-consecutive windows the leftmost of the least rank gets a vote; windows with at least VOTES votes are the text's features. Their
-hashes go into Bloom filters of FILTER_BITS bits and at most FILTER_FEATURES features, a new filter being chained on when one is
-full. Two fingerprints are compared filter by filter: the bits in common beyond what chance gives, over the most there could be;
-each filter of the shorter chain takes its best partner, and the likeness is their mean, weighted by features.
+Every window of WINDOW bytes has a Shannon entropy and, by how rare that entropy is in ordinary text, a rank. Every run of
+consecutive windows votes for its window of the least rank, equal ranks by the window's hash; windows that win the votes of at
+least VOTES times a run's length of neighbouring runs are the text's features, each once. A run is a DENSITY-th of the text's
+windows, 1 at least and POPULAR at most, so all texts go by one rule, and as features of longer runs are among those of shorter
+ones, texts of different sizes stay comparable. The features' hashes go into Bloom filters of FILTER_BITS bits and at most
+FILTER_FEATURES features, a new filter being chained on when one is full. Two fingerprints are compared filter by filter: the
+bits in common beyond what chance gives, over the most there could be; each filter of the shorter chain takes its best partner,
+and the likeness is their mean, weighted by features.
 
 The rank follows a rule with two parameters, the usual entropy of text windows and its spread, so that a fingerprint depends on
-its text alone. Texts of fewer than SHORT code points have all their windows of SHORT_WINDOW bytes as features, padded to one if need
-be; an empty text has no filter and is like an empty text only.
+its text alone. Windows of hardly any entropy rank last. A text of fewer than WINDOW bytes is padded to one window; an empty text
+has no filter and is like an empty text only.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipehat.llm.arrow import map_batches, slices, strings
 from pipehat.runtime import written
 
-WINDOW, POPULAR, VOTES = 64, 64, 16
+WINDOW, POPULAR, DENSITY, VOTES = 16, 64, 16, 0.25
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
-#: Entropy in bits of ordinary text windows and its spread; windows under WEAK bits are no features.
-USUAL, SPREAD, WEAK = 3.75, 0.25, 1.0
-#: Texts of fewer code points have too few windows to choose from: each of their windows of SHORT_WINDOW bytes is a feature.
-SHORT, SHORT_WINDOW = 256, 16
+#: Entropy in bits of ordinary text windows and its spread; windows under WEAK bits rank last.
+USUAL, SPREAD, WEAK = 3.15, 0.25, 1.0
 #: Bytes worked on at a time, so that the arrays stay in the processor's cache.
 BLOCK = 1 << 16
 #: c * log2(c) in units of 2**-16 bits, for counts up to a window.
 LOGS = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(1, np.arange(WINDOW + 1))) * 65536).astype(np.int32)
 GAIN = np.diff(LOGS)
+#: The rank after all others.
+LAST = 4095
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def ranks(data: np.ndarray) -> np.ndarray:
-    """A rank for each window of WINDOW bytes: the rarer its entropy, the less; 65535 for weak windows."""
+    """A rank for each window of WINDOW bytes: the rarer its entropy, the less; LAST for windows of hardly any."""
     n = len(data) - WINDOW + 1
     behind = np.zeros(len(data), np.uint8)  # equal bytes among the WINDOW - 1 before
     ahead = np.zeros(len(data), np.uint8)
@@ -60,27 +64,25 @@ def ranks(data: np.ndarray) -> np.ndarray:
     delta = GAIN[behind[WINDOW:]] - GAIN[ahead[: n - 1]]
     # the entering byte is counted without the leaving one, the leaving one without the entering one
     total = np.concatenate(([0], np.cumsum(delta, dtype=np.int64))) + int(first)
-    entropy = 6.0 - total / (65536.0 * WINDOW)
+    entropy = np.log2(WINDOW) - total / (65536.0 * WINDOW)
     rarity = np.abs(entropy - USUAL) / SPREAD
-    out = (65534 - np.minimum(rarity * 4096, 65534)).astype(np.uint16)
-    out[entropy < WEAK] = 65535
+    out = (LAST - 1 - np.minimum(rarity * 256, LAST - 1)).astype(np.uint64)
+    out[entropy < WEAK] = LAST
     return out
 
 
-def features(rank: np.ndarray) -> np.ndarray:
-    """Places of the windows with enough votes."""
-    n = len(rank)
-    key = (rank.astype(np.uint64) << np.uint64(40)) | np.arange(n, dtype=np.uint64)  # least rank, then leftmost
-    if n <= POPULAR:
-        best = int(key.min())
-        return np.array([best & ((1 << 40) - 1)]) if best >> 40 < 65535 else np.empty(0, np.int64)
-    step, low = 1, key
-    while step < POPULAR:  # doubling: the least of 2, 4, ... windows
+def features(key: np.ndarray) -> np.ndarray:
+    """The keys, in text order, that are the least of enough runs one after another. Equal windows win together."""
+    n = len(key)
+    run = max(1, min(POPULAR, n // DENSITY))
+    low, step = key, 1
+    while 2 * step <= run:  # doubling: the least of 2, 4, ... windows
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    votes = np.bincount((low & np.uint64((1 << 40) - 1)).astype(np.int64), minlength=n)
-    chosen = np.flatnonzero(votes >= VOTES)
-    return chosen[rank[chosen] < 65535]
+    if step < run:
+        low = np.minimum(low[: step - run], low[run - step :])
+    start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    return low[start[np.diff(np.r_[start, len(low)]) >= VOTES * run]]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,12 +91,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-    windows = np.lib.stride_tricks.sliding_window_view(data, width)[places]
-    h = np.full(len(places), width, np.uint64)
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of every window of WINDOW bytes."""
+    eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
+    n = len(data) - WINDOW + 1
+    h = np.full(n, WINDOW, np.uint64)
     with np.errstate(over="ignore"):
-        for x in np.ascontiguousarray(windows).view(np.uint64).T:
-            h = mix(h * M2 + x + np.uint64(1))
+        for k in range(0, WINDOW, 8):
+            h = mix(h * M2 + eights[k : k + n] + np.uint64(1))
     return h
 
 
@@ -102,17 +106,11 @@ def selected(text: str) -> np.ndarray:
     """Hashes of the features in text order, each once."""
     if not text:
         return np.empty(0, np.uint64)
-    data = text.encode("utf-8", "surrogatepass")
-    if len(text) < SHORT:
-        a = np.frombuffer(data.ljust(SHORT_WINDOW, b"\0"), np.uint8)
-        h = window_hashes(a, np.arange(len(a) - SHORT_WINDOW + 1), SHORT_WINDOW)
-    else:
-        a = np.frombuffer(data, np.uint8)
-        h = window_hashes(a, features(ranks(a)), WINDOW)
-        if not len(h):  # nothing but weak windows: the first stands for the text
-            h = window_hashes(a, np.array([0]), WINDOW)
-    _, first = np.unique(h, return_index=True)
-    return h[np.sort(first)]
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").ljust(WINDOW, b"\0"), np.uint8)
+    # least rank first, then by hash
+    chosen = features((ranks(data) << np.uint64(52)) | (window_hashes(data) >> np.uint64(12)))
+    _, first = np.unique(chosen, return_index=True)
+    return mix(chosen[np.sort(first)])
 
 
 def filters(hashes: np.ndarray) -> np.ndarray:
@@ -140,7 +138,10 @@ class Print:
 
     def text(self) -> str:
         """features:filters, the filters packed and in base64."""
-        return f"{self.count}:{base64.b64encode(np.packbits(self.bits).tobytes()).decode()}"
+        return f"{self.count}:{base64.b64encode(self.packed()).decode()}"
+
+    def packed(self) -> bytes:
+        return np.packbits(self.bits).tobytes()
 
     def likeness(self, other: Print) -> float:
         if not self.count or not other.count:
@@ -169,82 +170,77 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def above(x: Column, cuts: list[int], low: int | None, high: int | None, cells: int = 4096) -> Column:
-    """How many of the rising cuts are at least x, for low <= x <= high: a table by x's leading bits gives the answer but for
-    the few cuts in x's own cell, which are compared."""
-    if not cuts:
-        return F.lit(0)
-    shift = max(0, (high - low).bit_length() - cells.bit_length() + 1)
-    first = low >> shift
-    starts = [bisect_left(cuts, (first + k) << shift) for k in range((high >> shift) - first + 2)]
-    cell = F.shiftright(x, shift) - F.lit(first)
-    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (cell + 1).cast("int"))
-    here = F.slice(F.array(*map(F.lit, cuts)), at([k + 1 for k in starts[:-1]]), at([b - a for a, b in zip(starts, starts[1:], strict=False)]))
-    return at([len(cuts) - k for k in starts[1:]]) + F.size(F.filter(here, lambda c: c >= x))
+def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) in ranges of falling ids, sorted within each. Rows of one id are dealt by their texts' hash, equal rows by
+    their place, so that no id and no copies of a row need share a task."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    keys = [F.desc_nulls_last("id"), F.desc("tie"), F.desc("place")]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
 
 
-def in_ring(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 4_000) -> DataFrame:
-    """(range, id, text, guest): all rows dealt into ranges of falling ids, and as guest the row that follows each range's last.
+RESULT = "n_chars long, edited_sha256 string, count long, filters binary, edited_count long, edited_filters binary, near_edited double, near_next double"
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
-    Bounds come from approximate percentiles of the ids; each range's first row is found by one aggregation of ids and joined
-    to the range before it, the very first to the last range.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    about = rows.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
-    ranges = max(1, min(10_000, about.n // rows_per_range))
-    cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first().c if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
-    # ranges are numbered downwards from the highest ids; null ids come last
-    number = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(above(F.col("id"), cuts, about.low, about.high)).cast("int")
-    rows = rows.withColumn("range", number)
-    # the first row of a range: highest id, then least text by hash
-    heads = rows.groupBy("range").agg(F.max(F.struct(F.col("id"), F.md5("text").alias("tie"))).alias("head"))
-    order = [r.range for r in heads.select("range").orderBy("range").collect()]  # at most 10,001 numbers
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    link = df.sparkSession.createDataFrame(sorted(before.items()), "range int, target int") if order else None
-    if link is None:
-        return rows.withColumn("guest", F.lit(False))
-    heads = heads.join(F.broadcast(link), "range").select("range", "target", F.col("head.id").alias("head"), F.col("head.tie").alias("tie"))
-    guests = rows.join(F.broadcast(heads), (rows["range"] == heads["range"]) & rows["id"].eqNullSafe(heads["head"]) & (F.md5(rows["text"]) == heads["tie"]))
-    guests = guests.select("id", "text", F.col("target").alias("range")).dropDuplicates(["range"])
-    return rows.withColumn("guest", F.lit(False)).unionAll(guests.select("id", "text", "range", F.lit(True)))
+
+def result(text: str, own: Print, following: str, its: Print) -> tuple:
+    """What RESULT names."""
+    new = edited(text, following)
+    other = Print(new)
+    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+    return len(text), digest, own.count, own.packed(), other.count, other.packed(), own.likeness(other), own.likeness(its)
+
+
+def columns(found: list[tuple | None]) -> list[pa.Array]:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.float64(), pa.float64()]
+    return [pa.array([None if x is None else x[i] for x in found], k) for i, k in enumerate(kinds)]
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row its id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
-    The next row is that of the next lower id (equal ids: by the texts' hash; null ids last), after the last the first. Null
-    texts are empty ones.
+    The next row is that of the next lower id (equal ids: by the texts' hash; null ids last), after the last the first; a single
+    row follows itself. Ids are of any type that sorts. Null texts are empty ones.
+
+    Tasks go through ranges of ids. Each range's first and last rows are kept beside the results; the last rows are then
+    compared with the first ones of the ranges after them.
     """
-    ring = in_ring(df, id_col, text_col)
-    tie = F.md5("text")
-    order = [F.col("range"), F.col("guest"), F.desc_nulls_last("id"), F.desc("tie")]
-    dealt = ring.withColumn("tie", tie).repartition(F.col("range")).sortWithinPartitions(*order)
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, id, text, fingerprint) that waits for its follower
-        for batch, texts in slices(batches, 2):
-            out = []
-            for r, i, t, guest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
-                own = Print(t)
-                if held is not None and held[0] == r:
-                    out.append(result(held, t, own))
-                held = None if guest else (r, i, t, own)
-            yield rows(out)
-
-    def result(held, following: str, its: Print) -> tuple:
-        _, i, text, own = held
-        new = edited(text, following)
-        data = new.encode("utf-8", "surrogatepass")
-        other = Print(new)
-        return i, len(text), hashlib.sha256(data).hexdigest(), own.text(), other.text(), own.likeness(other), own.likeness(its)
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_batches(dealt, ["range", "id", "text", "guest"], work, schema).withColumnRenamed("id", id_col)
+        part, first, held = TaskContext.get().partitionId(), True, None  # held: (id, text, fingerprint) that waits for its follower
+        for batch, texts in slices(batches, 1):
+            ids, found = ([held[0]] if held else []), []
+            prints = [Print(t) for t in texts]
+            if first:
+                yield rows(part, "first", batch.column(0)[:1], [None], texts[:1])
+                first = False
+            before = [held[1:], *zip(texts, prints, strict=True)] if held else list(zip(texts, prints, strict=True))
+            for (text, own), (following, its) in pairwise(before):
+                found.append(result(text, own, following, its))
+            of = pa.concat_arrays([*ids, batch.column(0)])[: len(found)]
+            held = batch.column(0)[-1:], texts[-1], prints[-1]
+            yield rows(part, "inner", of, found, [None] * len(found))
+        if held:
+            yield rows(part, "last", held[0], [None], [held[1]])
+
+    def rows(part: int, role: str, ids: pa.Array, found: list, texts: list) -> pa.RecordBatch:
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([role] * n), ids, pa.array(texts, pa.string()), *columns(found)], names=["part", "role", "id", "text", *NAMES])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, 1):
+            found = [result(t, Print(t), f, Print(f)) for t, f in zip(texts, strings(batch.column(2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(found)], names=["id", *NAMES])
+
+    done = written(map_batches(in_order(df, id_col, text_col), ["id", "text"], work, f"part int, role string, id {kind}, text string, {RESULT}"), "fingerprints")
+    inner, first, last = done.where("role = 'inner'").select("id", *NAMES), done.where("role = 'first'"), done.where("role = 'last'")
+    # as many numbers as the shuffle has partitions
+    parts = sorted(r.part for r in last.select("part").collect())
+    links = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next int")
+    pairs = last.select("part", "id", "text").join(F.broadcast(links), "part").join(first.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
+    out = inner.unionAll(map_batches(pairs, ["id", "text", "following"], ends, f"id {kind}, {RESULT}"))
+    shown = lambda count, bits: F.concat(F.col(count), F.lit(":"), F.replace(F.base64(F.col(bits)), F.lit("\r\n"), F.lit("")))
+    return out.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", shown("count", "filters").alias("fingerprint"), shown("edited_count", "edited_filters").alias("edited_fingerprint"), "near_edited", "near_next"
+    )

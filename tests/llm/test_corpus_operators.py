@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -187,20 +188,31 @@ def test_ranks_by_force():
     import math
 
     data = np.frombuffer(("The quick brown fox. " * 5 + "aaaaaaaaaaaa" * 10 + text_of(random.Random(1), 60)).encode(), np.uint8)
-    got = fingerprint.ranks(data)
-    for i in range(len(data) - 63):
-        c = Counter(data[i : i + 64].tolist())
-        h = -sum(n / 64 * math.log2(n / 64) for n in c.values())
-        expected = 65535 if h < fingerprint.WEAK else 65534 - min(abs(h - fingerprint.USUAL) / fingerprint.SPREAD * 4096, 65534)
+    got, w = fingerprint.ranks(data), fingerprint.WINDOW
+    for i in range(len(data) - w + 1):
+        c = Counter(data[i : i + w].tolist())
+        h = -sum(n / w * math.log2(n / w) for n in c.values())
+        expected = fingerprint.LAST if h < fingerprint.WEAK else fingerprint.LAST - 1 - min(abs(h - fingerprint.USUAL) / fingerprint.SPREAD * 256, fingerprint.LAST - 1)
         assert abs(int(got[i]) - expected) <= 1
 
 
-def test_features_by_force():
-    rank = np.random.default_rng(3).integers(0, 50, 500).astype(np.uint16)
-    votes = Counter()
-    for i in range(len(rank) - 63):
-        votes[i + int(np.argmin(rank[i : i + 64]))] += 1
-    assert fingerprint.features(rank).tolist() == sorted(k for k, n in votes.items() if n >= fingerprint.VOTES)
+@pytest.mark.parametrize("n", [1, 15, 40, 300, 2000])
+def test_features_by_force(n):
+    key = np.random.default_rng(n).integers(0, 500, n).astype(np.uint64)
+    run = max(1, min(fingerprint.POPULAR, n // fingerprint.DENSITY))
+    wins = [min(key[i : i + run].tolist()) for i in range(n - run + 1)]
+    expected = [k for k, g in itertools.groupby(wins) if len(list(g)) >= fingerprint.VOTES * run]
+    assert fingerprint.features(key).tolist() == expected
+
+
+def test_one_rule_for_all_lengths():
+    base = text_of(random.Random(8), 2000)
+    for n in (20, 60, 100, 200, 254, 255, 256, 257, 500, 1000, 1040, 4000):
+        for more in (1, 2, 4):
+            assert fingerprint.Print(base[:n]).likeness(fingerprint.Print(base[: n + more])) > 0.9
+    # repeated windows count once; what differs counts
+    one, other = fingerprint.Print("x" * 3000), fingerprint.Print("x" * 1500 + "yyyyyyyy" + "x" * 1500)
+    assert one.count and one.text() != other.text()
 
 
 def test_likeness():
@@ -214,18 +226,18 @@ def test_likeness():
     assert fingerprint.Print("short").likeness(fingerprint.Print("short")) == 1 and fingerprint.Print("x" * 5000).likeness(fingerprint.Print("x" * 5000)) == 1
 
 
-@pytest.mark.parametrize("per_range", [3, 10**6])
-def test_fingerprints_of_a_ring(spark, per_range, monkeypatch):
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_fingerprints_of_a_ring(spark, kind):
     import hashlib
 
     rnd = random.Random(7)
     rows = [(i * 3, text_of(rnd, rnd.randint(0, 90))) for i in range(40)] + [(500, None), (501, ""), (502, "é你😀" * 30), (None, "no id")]
     rnd.shuffle(rows)
-    ring = fingerprint.in_ring
-    monkeypatch.setattr(fingerprint, "in_ring", lambda df, a, b: ring(df, a, b, per_range))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("range", F.lit(1)).repartition(4)
+    if kind == "string":
+        rows = [(None if i is None else f"d{i:04d}", t) for i, t in rows]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumn("part", F.lit(1)).withColumn("id", F.lit("x")).repartition(4)
     got = {r.doc_id: r for r in fingerprint.fingerprints(df).collect()}
-    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [r for r in rows if r[0] is None]
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in rows if r[0] is None]
     assert len(got) == len(rows)
     for (i, t), (_, following) in zip(order, order[1:] + order[:1], strict=True):
         t, following, g = t or "", following or "", got[i]
@@ -236,17 +248,6 @@ def test_fingerprints_of_a_ring(spark, per_range, monkeypatch):
         assert g.fingerprint == own.text() and g.near_next == own.likeness(fingerprint.Print(following)) and g.near_edited == own.likeness(fingerprint.Print(new))
 
 
-def test_numbers_of_ranges(spark):
-    rnd = random.Random(3)
-    for low, high in ((0, 50), (-(2**63), 2**63 - 1), (10**12, 10**12 + 10**6), (7, 7)):
-        ids = sorted({low, high, *(rnd.randint(low, high) for _ in range(200)), *(min(high, low + i) for i in range(60))})
-        cuts = sorted(set(rnd.sample(ids, min(len(ids), 40))))
-        df = spark.createDataFrame([(i,) for i in ids], "x bigint")
-        for cells in (4, 4096):
-            assert [r.n for r in df.select(fingerprint.above(F.col("x"), cuts, low, high, cells).alias("n")).collect()] == [sum(c >= i for c in cuts) for i in ids]
-    assert df.select(fingerprint.above(F.col("x"), [], None, None).alias("n")).first().n == 0
-
-
 def test_fingerprint_edges(spark):
     schema = "doc_id bigint, text string"
     assert fingerprint.fingerprints(spark.createDataFrame([], schema)).count() == 0
@@ -254,6 +255,10 @@ def test_fingerprint_edges(spark):
     assert len(one) == 1 and one[0].near_next == 1
     twice = fingerprint.fingerprints(spark.createDataFrame([(1, "a b " * 100), (1, "a b " * 100), (1, "c")], schema)).collect()
     assert len(twice) == 3 and len({r.fingerprint for r in twice}) == 2
+    # one id and null ids are dealt over tasks, equal rows too
+    many = spark.createDataFrame([(7, f"text number {i % 50}") for i in range(400)] + [(None, "same") for _ in range(400)], schema)
+    assert fingerprint.in_order(many, "doc_id", "text").select(F.spark_partition_id().alias("p"), "id").distinct().groupBy("id").count().where("count > 1").count() == 2
+    assert Counter(r.doc_id for r in fingerprint.fingerprints(many).collect()) == {7: 400, None: 400}
 
 
 # -- shards -------------------------------------------------------------------------------------------------------------
