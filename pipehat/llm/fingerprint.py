@@ -226,7 +226,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def rows(part: int, role: str, ids: pa.Array, found: list, texts: list) -> pa.RecordBatch:
         n = len(found)
-        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([role] * n), ids, pa.array(texts, pa.string()), *columns(found)], names=["part", "role", "id", "text", *NAMES])
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([role] * n, pa.string()), ids, pa.array(texts, pa.string()), *columns(found)], names=["part", "role", "id", "text", *NAMES])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, 1):
