@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import string
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -304,13 +306,60 @@ def test_secret_query(spark):
     assert secrets.scan(docs.limit(0), secrets.train(docs.limit(0))).count() == 0
 
 
+def plain_markov(text, model):
+    """Runs of 16 identifier characters and up to two equals signs, scored pair by pair."""
+    out, i = [], 0
+    allowed = set(string.ascii_letters + string.digits + "+/_-")
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        e = j
+        while e < min(len(text), j + 2) and text[e] == "=":
+            e += 1
+        ratio = sum(model.ratio[secrets.ALPHABET.index(x), secrets.ALPHABET.index(y)] for x, y in zip(text[i:e], text[i + 1 : e], strict=False))
+        if j - i >= 16 and ratio > model.threshold:
+            out.append((i, 3, e))
+        i = max(i + 1, j)
+    return out
+
+
 def test_markov_models():
-    m = secrets.Model("house garden window letter number market people mountain river winter summer".split())
+    words = "house garden window letter number market people mountain river winter summer".split()
+    m = secrets.Model(secrets.transitions(secrets.identifiers(words * 500, "x")))
     rnd = random.Random(77)
     assert m.recall > 0.95
-    odd = [secrets.Model.random_string(rnd) for _ in range(300)]
-    plain = [secrets.Model.identifier(rnd, ["house", "garden", "window", "letter"]) for _ in range(300)]
-    assert sum(m.score(s) > m.threshold for s in odd) > 280 and sum(m.score(s) > m.threshold for s in plain) < 5
-    text = "key Zx9QpL2mVt7RkW4bNc8H and someOrdinaryIdentifier2024"
-    assert [text[s:e] for s, k, e in secrets.find_spans(text, m)[1]] == ["Zx9QpL2mVt7RkW4bNc8H"]
+    odd = [secrets.random_string(rnd) for _ in range(300)]
+    plain = [x for x in secrets.identifiers(["house", "garden", "window", "letter"] * 300, "y") if len(x) >= 16]
+    assert sum(m.score(s) > m.threshold for s in odd) > 285 and sum(m.score(s) > m.threshold for s in plain) < len(plain) / 50
+    text = "key Zx9QpL2mVt7RkW4bNc8H and someOrdinaryIdentifier2024 qzxkvjwqpfhgtbnmxr house-of-cards-and-letters token=Zx9QpL2mVt7RkW4bNc8H+/9== 4929348385146306"
+    base, spans = secrets.find_spans(text, m)
+    assert [text[s:e] for s, k, e in spans if k == 3] == ["Zx9QpL2mVt7RkW4bNc8H", "qzxkvjwqpfhgtbnmxr", "Zx9QpL2mVt7RkW4bNc8H+/9=="]
+    assert set(base) <= set(spans) and spans == sorted(base + plain_markov(text, m))
+    counts = secrets.transitions(["abca", "bc"])
+    pairs = Counter(p for s in ("abca", "bc") for p in zip(s, s[1:], strict=False))
+    assert {(secrets.ALPHABET[i], secrets.ALPHABET[j]): counts[i, j] for i, j in zip(*counts.nonzero(), strict=True)} == pairs
     assert secrets.masked("ab12cd", [(1, 0, 3), (2, 2, 4)]) == "a[SECRET]cd"
+
+
+def test_markov_spans_of_the_query(spark):
+    """Trained on the documents: finds their hexadecimal tokens without the patterns' help, and no ordinary word or number."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model, rnd = secrets.train(docs), random.Random(5)
+    odd = [secrets.random_string(rnd) for _ in range(200)]
+    assert sum(model.score(x) > model.threshold for x in odd) >= 190
+    planted = spark.createDataFrame([(10**7 + i, f"see {x} there") for i, x in enumerate(odd)], "doc_id bigint, text string")
+    got = by_id(secrets.scan(docs.unionAll(planted), model))
+    found = {n: {tuple(x.split(":")[1:]) for x in r.spans.split(",") if x.startswith("markov")} for n, r in got.items()}
+    for r in docs.collect():
+        hexes = {(str(s), str(e)) for s, k, e in plain_spans(r.text or "") if k == 2}
+        assert hexes <= found[r.doc_id] and len(found[r.doc_id] - hexes) == 0
+        assert found[r.doc_id] == {(str(s), str(e)) for s, _, e in plain_markov(r.text or "", model)}
+    hits = sum((str(4), str(4 + len(x))) in found[10**7 + i] for i, x in enumerate(odd))
+    assert hits >= 185
+
+
+def test_training_takes_copies_once(spark):
+    docs = spark.createDataFrame([(None, "the house of the people and the river " * 20)] * 500 + [(1, None), (2, "")], "doc_id bigint, text string")
+    one = secrets.train(docs.limit(1))
+    assert (secrets.train(docs).ratio == one.ratio).all() or secrets.train(docs).threshold >= secrets.LEAST
