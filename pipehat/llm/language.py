@@ -4,10 +4,11 @@ A word known from training scores by its log frequency in each language. An unse
 longest length at which any of them is known, from MAX_GRAM down to 1. A text's score for a language is the sum over its
 words; the prediction's score is its posterior under equal priors.
 
-Training reads at most about MAX_DOCS_PER_LANG labelled rows of each language, chosen by a hash of the id (the bound is on
-the expected number); their words and n-grams are counted where they lie, all of them, and those seen twice at least, in
-whatever languages, reach the driver. Defined results: null texts and texts without a letter are `und` with score 0; rows with a null label train
-nothing; with nothing to train on every text is `und`; ties between languages go to the first by name.
+Training reads about MAX_DOCS_PER_LANG different texts of each label at most, chosen by their hash (the bound is on the expected
+number), copies once; so neither null or repeated ids nor copies lift the bound. Their words and n-grams are counted where they
+lie, all of them, and those seen twice at least, in whatever languages, reach the driver. Labels are taken to be languages:
+tables have a column for each. Defined results: null texts and texts without a letter are `und` with score 0; rows with a null
+label train nothing; with nothing to train on every text is `und`; ties between languages go to the first by name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pipehat.runtime import remove, written
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 MAX_DOCS_PER_LANG, MAX_GRAM, CACHE_WORDS = 2500, 5, 100_000
-#: A word's length beyond which only its ends are looked up whole; the n-grams still cover all of it.
+#: Hash values that the choice of texts distinguishes, and labels up to which their shares are broadcast.
+HASHES, BROADCAST_LABELS = 1 << 40, 100_000
+#: What stands for a word's start and end in its n-grams.
 EDGE = {"start": "\x02", "end": "\x03"}
 
 
@@ -135,14 +138,20 @@ class Model:
         return langs, scores
 
 
-def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS_PER_LANG) -> Model:
+def sample(df: DataFrame, usable: Column, text_col: str, lang_col: str, max_docs: int) -> DataFrame:
+    """(lang, text) of about max_docs different texts of each label at most."""
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    rows = df.where(usable & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).where(F.col("n") > max_docs).collect()
+    if counted:  # labels with fewer texts need no choice
+        shares = df.sparkSession.createDataFrame([(r.lang, max_docs * HASHES // r.n) for r in counted], "lang string, share long")
+        rows = rows.join(F.broadcast(shares) if len(counted) <= BROADCAST_LABELS else shares, "lang", "left").where(F.col("share").isNull() | (F.pmod("h", F.lit(HASHES)) < F.col("share")))
+    return rows.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS_PER_LANG) -> Model:
     """A model of the usable rows with a label and a text."""
-    rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()}
-    share = F.lit(0)
-    for lang, count in sorted(n.items()):
-        share = F.when(F.col(lang_col).cast("string") == lang, F.lit(min(1 << 20, -(-max_docs * (1 << 20) // count)))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < share)
+    chosen = sample(df, usable, text_col, lang_col, max_docs)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, 1):
@@ -155,7 +164,7 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
             columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["size", "word", "lang", "n"])
 
-    counted = map_batches(chosen, [F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")], count_words, "size int, word string, lang string, n long")
+    counted = map_batches(chosen, ["lang", "text"], count_words, "size int, word string, lang string, n long")
     by_lang = written(counted.groupBy("size", "word", "lang").agg(F.sum("n").alias("n")), "counts")
     try:
         langs = [r.lang for r in by_lang.where("size = 0").select("lang").distinct().collect()]

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -254,7 +255,7 @@ def test_training_keeps_all_counts_of_its_rows(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     name = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
     # many words of the first language by name, seen twice, and one rare language whose words are seen once
-    rows = [(k, " ".join(name(i) for i in range(k // 2 * 2500, k // 2 * 2500 + 2500)), "aa") for k in range(80)] + [(100, "ωκεανός θάλασσα", "zz")]
+    rows = [(k, " ".join(name(i) for i in range(k // 2 * 2500, k // 2 * 2500 + 2500)) + f" {k}", "aa") for k in range(80)] + [(100, "ωκεανός θάλασσα", "zz")]
     m = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
     assert m.langs == ["aa", "zz"] and len(m.words.rows) == 100_000
     assert m.predict(["θάλασσα ωκεανός", name(7) + " " + name(99_999)])[0] == ["zz", "aa"]
@@ -268,6 +269,64 @@ def test_training_keeps_all_counts_of_its_rows(spark):
         assert all(a.logs[a.rows[t]] == pytest.approx(b.logs[b.rows[t]]) for t in a.rows)
 
 
+def plain_prediction(text, rows):
+    """Words first, then the longest n-grams of which any is known, counted and scored one by one."""
+    langs = sorted({lang for lang, _ in rows})
+    count = {lang: Counter() for lang in langs}
+    for lang, t in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            count[lang][0, w] += 1
+            for n in range(1, 6):
+                marked = f"\x02{w}\x03" if n > 1 else w
+                for i in range(len(marked) - n + 1):
+                    count[lang][n, marked[i : i + n]] += 1
+    total = sum(count.values(), Counter())
+    known = {k for k, n in total.items() if n > 1}
+    size = {(n, lang): sum(count[lang][k] + 0.5 for k in known if k[0] == n) for n in range(6) for lang in langs}
+
+    def logs(key):
+        x = [math.log((count[lang][key] + 0.5) / size[key[0], lang]) for lang in langs]
+        return [v - sum(x) / len(x) for v in x]
+
+    score = [0.0] * len(langs)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        grams = [[(0, w)]] + [[(n, g[i : i + n]) for g in (f"\x02{w}\x03" if n > 1 else w,) for i in range(len(g) - n + 1)] for n in range(5, 0, -1)]
+        found = next((f for f in ([k for k in level if k in known] for level in grams) if f), [])
+        for k in found:
+            score = [s + x / len(found) for s, x in zip(score, logs(k), strict=True)]
+    p = [math.exp(s - max(score)) for s in score]
+    return langs[score.index(max(score))], max(p) / sum(p)
+
+
+def test_language_scores_by_force(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = table.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").limit(30)
+    rows = [(r.lang, t) for r in docs.select("lang", "text").distinct().collect() for t in (r.text,)]
+    m = language.train(docs, F.lit(True))
+    texts = ["die schule the tion", "xqz", "Bonjour le monde", *(t[:60] for _, t in rows[:6])]
+    langs, scores = m.predict(texts)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        assert (lang, pytest.approx(score, abs=1e-9)) == plain_prediction(t, rows)[:1] + (plain_prediction(t, rows)[1],)
+
+
+def test_training_bound_holds_for_copies_and_null_ids(spark):
+    rows = [(None, f"text number {'abcdefghij'[i % 10]} {i}", "en") for i in range(300)] + [(5, "one and the same", "en")] * 300 + [(None, "das haus am see", "de")] * 20 + [(1, "el rio grande", "es")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = Counter(r.lang for r in language.sample(df, F.lit(True), "text", "lang", 50).collect())
+    assert got["de"] == got["es"] == 1 and 20 < got["en"] < 90
+
+
+def test_a_rare_language_beside_a_frequent_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    names = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count")).collect()]
+    rare = names[1]
+    few = docs.where(F.col("lang") == rare).orderBy("doc_id").limit(20)
+    m = language.train(docs.where(F.col("lang") != rare).unionAll(few), F.lit(True))
+    rest = docs.where(F.col("lang") == rare).orderBy(F.desc("doc_id")).limit(80)
+    got = [r.lang_pred for r in language.identify(rest, m).collect()]
+    assert got.count(rare) >= 76
+
+
 # -- secrets ------------------------------------------------------------------------------------------------------------
 def plain_spans(text):
     """The patterns as given, leftmost and non-overlapping for each kind, failing ones dropped afterwards."""
