@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -164,6 +165,19 @@ def test_tiling_by_force():
         assert got.get(0, 0) == tiles_by_force(text, item, 3)
 
 
+def test_tiling_of_repetitive_texts():
+    """Work and memory stay bounded however often words repeat, and results stay those of brute force."""
+    for item, text in ((["a"] * 9, ["a"] * 14), (["a", "b"] * 6, ["a", "b", "a"] * 6), (["a"] * 6 + ["b"] * 6, ["b"] * 9 + ["a"] * 9)):
+        index = decontaminate.Index([(0, " ".join(item))], seed=3)
+        got = {k: sum(n for _, _, n in tiles) for _, k, _, tiles in index.matches([" ".join(text)], 0.0)}
+        assert got == {0: tiles_by_force(text, item, 3)}
+    start = time.perf_counter()
+    index = decontaminate.Index([(0, "again " * 5000)] + [(i, f"the usual line that opens every page number {i}") for i in range(1, 3000)])
+    got = list(index.matches(["again " * 5000, "the usual line that opens every page " * 300], 0.5))
+    assert [(t, k, c) for t, k, c, _ in got if k == 0] == [(0, 0, 1.0)] and len(got) == 3000
+    assert time.perf_counter() - start < 5
+
+
 @pytest.mark.parametrize("block", [10**6, 200])
 def test_decontamination(spark, block):
     rnd = random.Random(8)
