@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a group-by and a join on edges; nothing is collected but two numbers that tell whether edges still change.
-Hot vertices meet partial aggregation and joins that adaptive execution can split.
+Group-bys aggregate before they shuffle; the edges of a hot vertex are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -9,17 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipehat.llm.hot import dealt_join, hot_values
 from pipehat.runtime import remove, written
 
 
+def _beside_least(edges: DataFrame, paths: list[str]) -> DataFrame:
+    """Edges (a, b) with m, the least b of their a. Written tables go to paths."""
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    paths.append(least.path)
+    total = least.agg(F.sum("n")).first()[0] or 0
+    return dealt_join(edges, least.select("a", "m"), "a", hot_values(least.select("a", "n"), "a", total), "b")
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (a, b) with a > b."""
+    paths: list[str] = []
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    moved = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+    near = _beside_least(both, paths).select("a", "b", F.least("a", "m").alias("m")).where("b > a")
+    large = written(near.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), "large")
+    paths.append(large.path)
+    near = _beside_least(large, paths)
+    moved = near.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written(moved.unionAll(near.where("b = m").select("a", "b")).distinct(), "edges")
+    remove(edges.sparkSession, *paths)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,15 +42,18 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the least node of its component. Nodes without an edge aren't
-    returned; empty edges give an empty table; loops and repeated or reversed edges change nothing."""
+    returned; empty edges give an empty table; loops and repeated or reversed edges change nothing. `.path` is the table it
+    reads."""
     spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        then = written(_stars(now), "edges")
+        then = _stars(now)
         new = _state(then)
         remove(spark, now.path)
         now, done, state = then, new == state, new
         if done:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select("b", "b").distinct().toDF("node", "root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select("b", "b").distinct().toDF("node", "root"))
+    out.path = now.path
+    return out

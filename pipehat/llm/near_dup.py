@@ -10,7 +10,7 @@ Texts that agree in all coordinates of a band meet in a bucket. The most popular
 with most others, leads it: all others are compared with it, on their whole texts, and links join to classes by connected
 components. Where texts of several classes are left in a bucket, an exact similarity join by prefixes of rare shingles finds
 the links between them. So no bucket is capped, none emits all its pairs, and a dense one costs about as many comparisons as it
-has texts.
+has texts. Hot values of joins (copies of a text, large buckets, popular texts, large classes) are dealt over many tasks.
 
 Defined results: copies of a text share a class. A text of fewer than five words is one shingle of all its words; a text
 without words, or null, is like its exact copies only (nulls stay alone). A class is named by the least id in it. Repeated rows
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from pipehat.llm.arrow import claim, map_batches, slices, strings
 from pipehat.llm.components import components
+from pipehat.llm.hot import dealt_join, hot_values
 from pipehat.runtime import remove, written
 
 WORD = re.compile(r"\w+")
@@ -192,9 +193,13 @@ def sign(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> Da
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) with `same`: whether their texts are similar enough. texts: (key, text)."""
-    with_a = pairs.join(texts.toDF("a", "text_a"), "a")
-    both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    """pairs (a, b), each once, with `same`: whether their texts are similar enough. texts: (key, text). A text of very many
+    pairs is dealt to many tasks."""
+    n = pairs.count()
+    both = pairs
+    for side, other in ("a", "b"), ("b", "a"):
+        sizes = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        both = dealt_join(both, texts.toDF(side, f"text_{side}"), side, hot_values(sizes, side, n), other)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first in slices(batches, 2):
@@ -211,22 +216,24 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return map_batches(both, ["a", "b", "text_a", "text_b"], work, "a binary, b binary, same boolean")
 
 
-def _led(members: DataFrame) -> DataFrame:
+def _led(members: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(bucket, key, total, leader) of all members beside their bucket's most popular text."""
     best = members.groupBy("bucket").agg(F.max(F.struct("popularity", "key")).alias("best"))
-    return members.join(best.select("bucket", F.col("best.key").alias("leader")), "bucket").where("key <> leader").select("bucket", "key", "total", "leader")
+    return dealt_join(members, best.select("bucket", F.col("best.key").alias("leader")), "bucket", hot, "key").where("key <> leader").select("bucket", "key", "total", "leader")
 
 
-def _open(led: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(led: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(key, label, total, lightest) of the texts that meet texts of other classes among those that don't lead their bucket;
     lightest is the least total of what they meet there."""
     now = led.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key"))
     mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("total").alias("lightest")).where("low <> high")
-    return now.join(mixed, "bucket").groupBy("key").agg(F.first("label").alias("label"), F.first("total").alias("total"), F.min("lightest").alias("lightest"))
+    met = dealt_join(now, mixed.select("bucket", "lightest"), "bucket", hot, "key")
+    return met.groupBy("key").agg(F.min("label").alias("label"), F.min("total").alias("total"), F.min("lightest").alias("lightest"))
 
 
-def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different classes that may be similar enough; texts: (key, text, label, total, lightest).
+def _prefix_pairs(texts: DataFrame, least: float) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) of different classes that may be similar enough, and tables to remove after; texts: (key, text, label,
+    total, lightest).
 
     Two texts that similar share a weight of at least least / (1 + least) of both totals. With every text's shingles in one
     order, the rarest first, such texts share one among the first that leave less than that weight behind: so only those are
@@ -245,9 +252,11 @@ def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
 
     rows = written(map_batches(texts, ["key", "text"], shingles, "key binary, shingle long, weight long"), "shingles")
     sketched = map_batches(texts, ["key", "text"], sketches, "key binary, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)))
-    spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
+    spread = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "spread")
+    hot = hot_values(spread, "shingle", rows.count())
     order = Window.partitionBy("key").orderBy("spread", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.join(spread, "shingle").withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0)))
+    # what only one text has comes first, by its own order
+    ranked = dealt_join(rows, spread.withColumnRenamed("n", "spread"), "shingle", hot, "key", "left").fillna(1, ["spread"]).withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0)))
     facts = texts.select("key", "label", "total", "lightest")
     # a shingle counts while the weight from it on still reaches the least that a similar text must share
     needed = (F.col("total") + F.col("lightest")) * (least / (1 + least)) - 1e-6
@@ -255,12 +264,12 @@ def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
     # pairs of one class aren't wanted: of every two classes at least one isn't the shingle's largest
     sizes = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    prefix = written(prefix.join(largest.drop("classes"), "shingle").join(sketched, "key"), "prefix")
+    prefix = written(dealt_join(prefix, largest.drop("classes"), "shingle", hot, "key").join(sketched, "key"), "prefix")
     one, two = (prefix.toDF(*(f"{c}{i}" if c != "shingle" else c for c in prefix.columns)) for i in (1, 2))
     apart = sum((F.bit_count(F.col(f"s{i}1").bitwiseXOR(F.col(f"s{i}2"))) for i in range(SKETCH_WORDS)), F.lit(0))
     close = apart <= (F.col("total1") + F.col("total2")) * ((1 - least) / (1 + least)) + 1e-6
     found = one.where("label1 <> largest1").join(two, "shingle").where((F.col("label1") != F.col("label2")) & close)
-    return found.select(F.greatest("key1", "key2").alias("a"), F.least("key1", "key2").alias("b")).distinct()
+    return found.select(F.greatest("key1", "key2").alias("a"), F.least("key1", "key2").alias("b")).distinct(), [rows.path, spread.path, prefix.path]
 
 
 def sketch(of: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
@@ -276,47 +285,67 @@ def sketch(of: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int) -> np.ndarr
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of df: its id, class_id (the least id of its class) and is_representative (the id is that)."""
+    out = classes(df, id_col, text_col, least, bands, rows).select(F.col("id").alias(id_col), "class_id")
+    nulls = df.where(F.col(text_col).isNull()).select(id_col, F.col(id_col).alias("class_id"))
+    return out.unionAll(nulls).withColumn("is_representative", F.col(id_col).eqNullSafe(F.col("class_id")))
+
+
+def classes(df: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, key, class_id, class_key) of every row with a text; (class_id, class_key) is the least (id, key) of the row's class,
+    null ids last. Written."""
     spark = df.sparkSession
     signed = written(sign(df, id_col, text_col, bands, rows), "signed")
-    distinct = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total")), "distinct")
-    members, spent = _meetings(distinct), [signed.path, distinct.path]
-    spent.append(members.path)
+    distinct = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total"), F.count(F.lit(1)).alias("n")), "distinct")
+    members, hot, spent = _meetings(distinct)
+    spent += [signed.path, distinct.path]
     texts = written(_fetch(df, id_col, text_col, members.select("key").distinct().join(distinct.select("key", "id"), "key")), "texts")
-    spent.append(texts.path)
-    led = written(_led(members), "led")
-    compared = written(verify(led.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct(), texts, least), "compared")
-    labels = written(components(compared.where("same").select("a", "b")), "labels")
-    rest = written(texts.join(_open(led, labels), "key"), "rest")
-    pairs = _prefix_pairs(rest, least).join(compared, ["a", "b"], "left_anti")
+    led = written(_led(members, hot), "led")
+    first = written(led.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    compared = written(verify(first, texts, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "same").distinct(), "compared")
+    labels = components(compared.where("same").select("a", "b"))
+    rest = written(texts.join(_open(led, labels, hot), "key"), "rest")
+    candidates, made = _prefix_pairs(rest, least)
+    pairs = written(candidates.join(compared, ["a", "b"], "left_anti"), "pairs")
     more = written(verify(pairs, rest.select("key", "text"), least), "compared")
-    spent += [led.path, compared.path, labels.path, rest.path, more.path]
-    roots = components(compared.unionAll(more).where("same").select("a", "b"))
-    named = signed.select("id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("root", "key").alias("root"))
-    names = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    out = named.join(names, "root").select(F.col("id").alias(id_col), "class_id")
-    nulls = df.where(F.col(text_col).isNull()).select(id_col, F.col(id_col).alias("class_id"))
-    result = written(out.unionAll(nulls).withColumn("is_representative", F.col(id_col).eqNullSafe(F.col("class_id"))), "classes")
+    spent += [texts.path, led.path, first.path, compared.path, labels.path, rest.path, *made, pairs.path, more.path]
+    # nodes order by id, so that a component's root names its class
+    node = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    nodes = distinct.select("key", node.alias("node"))
+    links = compared.unionAll(more).where("same").select("a", "b")
+    links = links.join(nodes.toDF("a", "node_a"), "a").join(nodes.toDF("b", "node_b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = components(links)
+    spent.append(roots.path)
+    names = roots.select("node.key", "root")
+    names = distinct.select("key", node.alias("own"), "n").join(names, "key", "left").select("key", F.coalesce("root", "own").alias("root"))
+    copies = hot_values(distinct.select("key", "n"), "key", signed.count())
+    # dealt by their place in the table, since copies may share even their id
+    named = dealt_join(signed.select("id", "key", F.monotonically_increasing_id().alias("place")), names, "key", copies, "place")
+    out = written(named.select("id", "key", F.col("root.id").alias("class_id"), F.col("root.key").alias("class_key")), "classes")
     remove(spark, *spent)
-    return result
+    return out
 
 
-def _meetings(distinct: DataFrame) -> DataFrame:
-    """(bucket, key, total, popularity) of the texts that meet others: popularity sums the sizes of a text's buckets."""
+def _meetings(distinct: DataFrame) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """(bucket, key, total, popularity) of the texts that meet others, hot buckets, and tables to remove after: popularity sums
+    the sizes of a text's buckets."""
     rows = distinct.where("bands IS NOT NULL").select("key", "total", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(rows.join(sizes, "bucket"), "met")
+    sizes = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    hot = hot_values(sizes, "bucket", sizes.agg(F.sum("n")).first()[0] or 0)
+    met = written(dealt_join(rows, sizes, "bucket", hot, "key"), "met")
     popular = met.groupBy("key").agg(F.sum("n").alias("popularity"))
     out = written(met.drop("n").join(popular, "key"), "members")
     remove(distinct.sparkSession, met.path)
-    return out
+    return out, hot, [sizes.path, out.path]
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of df, all columns, one of each class: that with the least id. Repeated ids stay once; rows without an id
-    stay once for each text."""
-    kept = near_duplicates(df, id_col, text_col, **how).where("is_representative").select(F.col(id_col).alias("kept"))
-    rows = df.join(kept, F.col(id_col) == F.col("kept"), "left_semi").dropDuplicates([id_col])
-    return rows.unionAll(df.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    """The rows of df, all columns, one of each class: that with the least id, of several texts with that id the one of the
+    least digest, of equal rows any one. Rows without a text all stay."""
+    kept = classes(df, id_col, text_col, **how).where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
+    name = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name")
+    rows = df.where(F.col(text_col).isNotNull()).select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col).cast("string")).alias("key"))
+    rows = rows.select("row", "key", name, F.col("id").isNull().alias("none")).join(kept.select("key", name, F.col("id").isNull().alias("none")).distinct(), ["key", "name", "none"])
+    return rows.dropDuplicates(["key", "name", "none"]).select("row.*").unionAll(df.where(F.col(text_col).isNull()))
 
 
 def _fetch(df: DataFrame, id_col: str, text_col: str, need: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pipehat.llm import decontaminate, fingerprint, near_dup
+from pipehat.llm import decontaminate, fingerprint, hot, near_dup
 from pipehat.llm.components import components
 from pipehat.llm.shards import Conflict, ShardStore
 
@@ -89,7 +89,10 @@ def test_sketches_never_hide_a_link():
     assert 35 < sum(int(x).bit_count() for x in sketches[0] ^ sketches[3]) <= 40
 
 
-def test_near_duplicates_by_force(spark):
+@pytest.mark.parametrize("least_hot", [2, 500])
+def test_near_duplicates_by_force(spark, least_hot, monkeypatch):
+    """Also with hot values everywhere."""
+    monkeypatch.setattr(hot, "LEAST_HOT", least_hot)
     rnd = random.Random(4)
     base, other, short = text_of(rnd, 120), text_of(rnd, 120), text_of(rnd, 60)
     rows = [(1, base), (2, base), (3, base.upper()), (4, None), (5, None), (6, ""), (7, ""), (8, "!!"), (9, "one two"), (10, "One, two"), (11, "one two three")]
@@ -103,6 +106,26 @@ def test_near_duplicates_by_force(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for c in classes_by_force(rows)})
 
 
+def test_one_id_with_several_texts(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (1, b), (1, b), (2, a + " "), (None, a), (None, None), (None, None), (3, None), (None, "alone here without an id"), (None, "alone here without an id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kept", F.lit(1)).withColumn("row", F.lit("x")).withColumn("name", F.lit("y"))
+    kept = near_dup.representatives(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (None, None), (None, None), (3, None), (None, "alone here without an id")])
+
+
+def test_nothing_is_left_behind(spark):
+    import os
+
+    from pipehat.runtime import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/pipehat"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    near_dup.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).count()
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["classes"]
+
+
 def test_near_duplicates_edges(spark):
     schema = "doc_id bigint, text string"
     assert near_dup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
