@@ -3,8 +3,10 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -221,9 +223,107 @@ def test_pages_give_their_articles(spark):
     assert [(r.text, r.n_chars) for r in html_text.extract(empty).collect()] == [("", 0), ("", 0)]
 
 
+def test_pages_give_the_same_text_without_marks(spark):
+    """Ratios and clusters find the article also where no tag names it."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        for mark in (r"<\1div>", ""):
+            assert html_text.main_text(re.sub("<(/?)(?:article|main)>", mark, r.html)) == html_text.main_text(r.html)
+
+
+def test_class_names_count_as_a_whole():
+    prose = "words of the page " * 20
+    for name, kept in (("legal-note", 1), ("form-factor", 1), ("adventure", 1), ("header-note", 0), ("ad", 0), ("ad-slot-2", 0), ("userComments", 0), ("related-posts", 0), ("cookie_banner", 0), ("noticeboard", 1), ("share buttons", 0)):
+        text = html_text.main_text(f"<body><p>{prose}</p><div class='{name}'><p>Here {prose}</p></div><p>{prose}</p></body>")
+        assert ("Here" in text) == bool(kept), name
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<i><div>" + "<b>x" * 30_000 + "</i>" * 30_000, "<td>x" * 50_000, "<div><li>x" * 30_000, "<p><b>x" * 30_000, "<article>" * 20_000 + "x" + "<p>y" * 1000])
+def test_deep_and_long_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - start < 2
+    assert len(text.replace(" ", "")) <= page.count("x") + page.count("y")
+
+
+def plain_region(tree):
+    """The rules over nested lists [tag, child, ...] with texts as leaves, by paths and sums over all pairs."""
+    lines, tags, number = [], {(): ""}, iter(range(1, 10**6))
+
+    def walk(node, path):
+        nonlocal seen
+        me = (*path, next(number))
+        tags[me], inner = node[0], node[1]
+        seen += 1
+        if isinstance(inner, str) or inner[0] == "a":  # one line: its block's tags count with it, and a link's
+            linked, text = not isinstance(inner, str), inner if isinstance(inner, str) else inner[1]
+            lines.append([text, len(text) * linked, seen + 2 * linked + 1, me, node[0] == "h2"])
+            seen = 0
+        else:
+            for child in node[1:]:
+                walk(child, me)
+            seen += 1
+
+    seen = 0
+    walk(tree, ())
+    ratio = [max(0, len(t) - 2 * k) / max(1, n) for t, k, n, *_ in lines]
+    near = lambda i: [(math.exp(-((i - j) ** 2) / 2), x) for j, x in enumerate(ratio) if abs(i - j) <= 3]
+    smooth = [sum(w * x for w, x in near(i)) / sum(w for w, _ in near(i)) for i in range(len(ratio))]
+    logs = [math.log1p(x) for x in smooth]
+    lo, hi = min(logs), max(logs)
+    for _ in range(50):
+        a, b = [x for x in logs if x < (lo + hi) / 2], [x for x in logs if x >= (lo + hi) / 2]
+        lo, hi = sum(a) / len(a) if a else lo, sum(b) / len(b) if b else hi
+    prose = [i for i, x in enumerate(lines) if 2 * x[1] <= len(x[0])]
+    picked = [i for i in prose if logs[i] >= (lo + hi) / 2 - 1e-9] or prose
+    if not picked:
+        return ""
+    below = lambda p, those: sum(len(lines[i][0]) for i in those if lines[i][3][:-1][: len(p)] == p)
+    everything = range(len(lines))
+    good = [p for p in tags if p and 10 * below(p, picked) >= 9 * below((), picked)]
+    holder = max(good, key=len, default=())
+    while holder and tags[holder[:-1]] not in ("", "body") and 2 * (below(holder[:-1], picked) - below(holder, picked)) >= below(holder[:-1], everything) - below(holder, everything):
+        holder = holder[:-1]
+    inside = [i for i in everything if lines[i][3][: len(holder)] == holder]
+    child = lambda i: tags[lines[i][3][: len(holder) + 1]] if len(lines[i][3]) > len(holder) else ""
+    touches = lambda i: lines[i][4] or child(i) in ("", "p", "h2", "ul") and 2 * lines[i][1] <= len(lines[i][0])
+    first, last = min(i for i in picked if i in inside), max(i for i in picked if i in inside)
+    while first > inside[0] and touches(first - 1):
+        first -= 1
+    while last < inside[-1] and touches(last + 1):
+        last += 1
+    while first == min(inside + [first]) and first > 0 and lines[first - 1][4]:
+        first -= 1
+    return " ".join(lines[i][0] for i in range(first, last + 1))
+
+
+def test_region_against_a_plain_version():
+    rnd, seen = random.Random(31), 0
+
+    def text():
+        return " ".join(rnd.choices(["lorem", "ipsum", "dolor", "sit", "amet"], k=rnd.choice((1, 2, 5, 30, 80))))
+
+    def node(depth):
+        kind = rnd.choice(["p", "p", "p", "h2", "ul", "div", "div"]) if depth < 4 else "p"
+        if kind in ("p", "h2"):
+            return [kind, ["a", text()]] if rnd.random() < 0.2 else [kind, text()]
+        if kind == "ul":
+            return ["ul", *(["li", ["a", text()]] if rnd.random() < 0.6 else ["li", text()] for _ in range(rnd.randint(1, 4)))]
+        return ["div", *(node(depth + 1) for _ in range(rnd.randint(1, 5)))]
+
+    def shown(n):
+        return n if isinstance(n, str) else f"<{n[0]}>" + "".join(map(shown, n[1:])) + f"</{n[0]}>"
+
+    for _ in range(400):
+        tree = ["body", *(node(0) for _ in range(rnd.randint(1, 6)))]
+        expected = plain_region(tree)
+        assert html_text.main_text(shown(tree)) == expected, shown(tree)
+        seen += 0 < len(expected) < len(re.sub("<[^>]*>", "", shown(tree)))
+    assert seen > 100
+
+
 def test_smoothing_and_threshold():
-    assert html_text.smooth([1.0, 1.0, 1.0]) == [1.0] * 3 and html_text.smooth([0, 9, 0])[1] < 9
-    assert 1 < html_text.threshold([1, 1, 1, 100, 100]) < 100 and html_text.threshold([5.0]) == pytest.approx(5)
+    assert html_text.smooth([1.0, 1.0, 1.0]).tolist() == pytest.approx([1.0] * 3) and html_text.smooth([0, 9, 0])[1] < 9
+    assert 1 < html_text.threshold(np.array([1, 1, 1, 100, 100])) < 100 and html_text.threshold(np.array([5.0])) == pytest.approx(5)
 
 
 # -- language -----------------------------------------------------------------------------------------------------------
