@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Known message types, versions and the text of the one parse error.
 MESSAGE_TYPES = ("ADT", "ORU", "ORM", "DFT", "SIU", "MDM", "ACK", "QRY", "RAS", "BAR")
 VERSIONS = ("2.1", "2.2", "2.3", "2.3.1", "2.4", "2.5", "2.5.1", "2.6", "2.7", "2.8")
 SPACES = "\t\n\x0b\x0c\r "

@@ -31,8 +31,8 @@ class Engine:
         self.store = QueueStore(spark, root, clock=clock, **store)
         self.extended, self.zero_means_all, self.clock = extended, zero_means_all, clock
 
-    def semantics(self) -> Semantics:
-        return Semantics(int(self.clock()), self.store.numbering, self.zero_means_all, self.extended)
+    def semantics(self, redact: Redaction | None = None, guarded: bool = False) -> Semantics:
+        return Semantics(int(self.clock()), self.store.numbering, self.zero_means_all, self.extended, redaction=redact, guarded=guarded)
 
     def source(self, s: ast.Source) -> DataFrame:
         if s.kind == "queue":
@@ -41,9 +41,11 @@ class Engine:
             return self.store.history(s.name)
         return self.store.everything()
 
-    def execute(self, tree) -> Result:
+    def execute(self, tree, redact: Redaction | None = None, guarded: bool = False) -> Result:
+        """redact: protected fields and messages come redacted, through whatever expression. guarded: and conditions on them are
+        refused."""
         if isinstance(tree, ast.Select):
-            return Result(select(self.source(tree.source), tree, self.semantics()))
+            return Result(select(self.source(tree.source), tree, self.semantics(redact, guarded)))
         if isinstance(tree, ast.Insert):
             self.store.insert(tree.queue, tree.text)
             return Result(affected=1)
@@ -54,32 +56,21 @@ class Engine:
             self.store.drop(tree.queue)
             return Result()
         if isinstance(tree, ast.Pop):
-            return Result(self.store.pop(tree.queue).select(*WILDCARD))
+            taken = self.store.pop(tree.queue).select(*WILDCARD)
+            return Result(redact_frame(taken, redact) if redact else taken)
         return Result(affected=self.store.clear_history(tree.queue))
 
     def sql(self, text: str, redact: Redaction | None = None) -> DataFrame | int:
         """The rows of a SELECT or POP, or the number of rows affected; raises what is wrong."""
-        out = self.execute(parse(text, self.extended))
-        if out.frame is None:
-            return out.affected
-        return self.redacted(out.frame, text, redact) if redact else out.frame
+        out = self.execute(parse(text, self.extended), redact)
+        return out.affected if out.frame is None else out.frame
 
-    def redacted(self, frame: DataFrame, text: str, how: Redaction) -> DataFrame:
-        """Raw messages redacted, and selected fields too."""
-        tree, fields = parse(text, self.extended), {}
-        if isinstance(tree, ast.Select) and tree.items:
-            from pipehat.plans.bind import Binder
-
-            names = Binder(frame, self.semantics())
-            fields = {names.name(i): f"{i.expr.segment}-{i.expr.field}" for i in tree.items if isinstance(i.expr, ast.FieldRef)}
-        return redact_frame(frame, how, fields)
-
-    def run(self, text: str | None) -> Result:
+    def run(self, text: str | None, redact: Redaction | None = None, guarded: bool = False) -> Result:
         """Like sql(), but problems come as results with a code."""
         if text is None:
             return Result(code=-1, message="Invalid arguments")
         try:
-            return self.execute(parse(text, self.extended))
+            return self.execute(parse(text, self.extended), redact, guarded)
         except SyntaxProblem as e:
             return Result(code=PARSE_ERROR, message=f"Parse error: {e}")
         except (BindProblem, QueueProblem) as e:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipehat.functions import hl7
+from pipehat.functions.redact import Redaction, redact_field, redact_message
 from pipehat.plans import ast
 
 ENVELOPE = ("queue", "seq", "msg_id", "timestamp", "msg_type", "msg_type_code", "version", "raw_message", "num_segments", "parse_errors", "error_message")
@@ -23,7 +24,9 @@ class Semantics:
     """Choices where the language leaves one.
 
     now: seconds since 1970 that LAST_N_… count from. zero_means_all: LAST_N_…(0) anywhere drops the whole WHERE, else it is an
-    error. numbering: of MSH. extended: whether the extensions bind.
+    error. numbering: of MSH. extended: whether the extensions bind. redaction: how what is shown, ordered by, grouped or
+    aggregated is redacted, by the field it reads, whatever its name; conditions read plain values. guarded: conditions on
+    protected fields or whole messages are refused, those on groups too.
     """
 
     now: int | None = None
@@ -31,6 +34,8 @@ class Semantics:
     zero_means_all: bool = False
     extended: bool = False
     shredded: dict[str, tuple[str, int]] = field(default_factory=dict)
+    redaction: Redaction | None = None
+    guarded: bool = False
 
 
 class NoFilter(Exception):
@@ -67,12 +72,28 @@ class Binder:
             name = next((c for c in ENVELOPE if c == e.name.lower()), None)
             if name is None or name not in self.columns:
                 raise BindProblem(f"no column {e.name}")
+            if name == "raw_message":
+                return self.shown(F.col(name), inside, None)
             return F.col(name)
         if isinstance(e, ast.Aggregate):
             raise BindProblem("an aggregate can't stand here")
         raise BindProblem(f"not an expression: {e}")
 
+    def shown(self, x: Column, inside: bool, field_id: str | None) -> Column:
+        """A field's value, or a whole message, as the statement may see it there."""
+        how = self.how.redaction
+        if how is None or field_id and not how.covers(field_id):
+            return x
+        if not inside:
+            return redact_field(field_id, x, how) if field_id else redact_message(x, how)
+        if self.how.guarded:
+            raise BindProblem(f"no condition on {field_id or 'a whole message'} is allowed")
+        return x
+
     def field_ref(self, e: ast.FieldRef, inside: bool) -> Column:
+        return self.shown(self.plain_field(e, inside), inside, f"{e.segment}-{e.field}")
+
+    def plain_field(self, e: ast.FieldRef, inside: bool) -> Column:
         if e.component is None and (name := self.kept.get((e.segment, e.field))):
             return F.col(name)
         if inside:
