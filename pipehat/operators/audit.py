@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipehat.operators.chain import Chain, linked
+from pipehat.runtime import remove
 from pipehat.storage import Conflict, Manifest, exists, read_text, write_text
 
 SEVERITIES = ("debug", "info", "warning", "error", "critical")
@@ -74,24 +76,20 @@ def payload_hash(columns: Iterable[str] = FIELDS) -> Column:
 
 
 def chained(rows: DataFrame, columns: Iterable[str] = FIELDS, first: str = "") -> DataFrame:
-    """rows with payload_hash, previous_event_id and checksum, which covers a row's hash and that of the event before.
-
-    A row's predecessor is the event one id lower, found by an equi-join, so that chaining and checking run in parallel.
-    """
+    """rows with payload_hash, previous_event_id and checksum, by the hash chain of chain.py over ascending event ids, which may
+    have gaps: every checksum depends on all events before it. Event ids are unique."""
     hashed = rows.withColumn("payload_hash", payload_hash(columns))
-    before = hashed.select((F.col("event_id") + 1).alias("event_id"), F.col("payload_hash").alias("before"), F.col("event_id").alias("previous_event_id"))
-    joined = hashed.join(before, "event_id", "left")
-    return joined.withColumn("checksum", F.sha2(F.concat(F.coalesce("before", F.lit(first)), F.lit("|"), F.col("payload_hash")), 256)).drop("before")
+    links = linked(hashed.select(F.col("event_id").alias("id"), F.col("payload_hash").alias("hash")), first)
+    return hashed.join(links.select(F.col("id").alias("event_id"), F.col("previous_id").alias("previous_event_id"), "checksum"), "event_id")
 
 
 def broken(log: DataFrame, columns: Iterable[str] = FIELDS, first: str = "") -> DataFrame:
-    """(event_id, problem) of rows that don't fit: `changed` fields, or a `link` to an event that is changed or missing."""
-    checked = log.withColumn("now_hash", payload_hash(columns))
-    before = checked.select((F.col("event_id") + 1).alias("event_id"), F.col("now_hash").alias("before"))
-    start = log.agg(F.min("event_id")).first()[0]
-    joined = checked.join(before, "event_id", "left")
-    link = F.sha2(F.concat(F.when(F.col("event_id") == F.lit(start), F.coalesce("before", F.lit(first))).otherwise(F.col("before")), F.lit("|"), F.col("now_hash")), 256)
-    problem = F.when(F.col("now_hash") != F.col("payload_hash"), "changed").when(link.isNull() | (link != F.col("checksum")), "link")
+    """(event_id, problem) of rows that don't fit: `changed` fields, or a `link`: a checksum that isn't that of the kept hashes
+    up to there. A changed row shows as such alone; where its hash was changed to match, or a row was taken out or put in,
+    every later row shows."""
+    links = linked(log.select(F.col("event_id").alias("id"), F.col("payload_hash").alias("hash")), first)
+    joined = log.withColumn("now_hash", payload_hash(columns)).join(links.select(F.col("id").alias("event_id"), F.col("checksum").alias("now_sum")), "event_id")
+    problem = F.when(~F.col("now_hash").eqNullSafe(F.col("payload_hash")), "changed").when(~F.col("now_sum").eqNullSafe(F.col("checksum")), "link")
     return joined.select("event_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
@@ -109,23 +107,21 @@ class AuditLog:
         names = list(FIELDS)
         while True:
             version, doc = self.manifest.read()
-            n, last = doc.get("last_id", 0), doc.get("last_hash", "")
+            n, last, chain = doc.get("last_id", 0), doc.get("last_checksum", ""), Chain(doc.get("chain"))
             rows = []
             for e in events:
                 n += 1
                 row = {k: None for k in names} | {"timestamp": int(self.clock()), "severity": 1, "user_id": 0, "success": True, "error_code": 0, "phi_accessed": False, "phi_record_count": 0} | e | {"event_id": n}
                 text = json.dumps({k: row[k] for k in names}, separators=(",", ":"), ensure_ascii=False)
                 own = hashlib.sha256(text.encode()).hexdigest()
-                rows.append(tuple(row[k] for k in names) + (own, hashlib.sha256(f"{last}|{own}".encode()).hexdigest(), n - 1 if n > 1 else None))
-                last = own
+                last = chain.add(n, own)
+                rows.append(tuple(row[k] for k in names) + (own, last, n - 1 if n > 1 else None))
             batch = uuid.uuid4().hex
             self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{self.root}/log/{batch}")
             try:
-                self.manifest.commit(version, {"last_id": n, "last_hash": last, "batches": [*doc.get("batches", []), batch]})
+                self.manifest.commit(version, {"last_id": n, "last_checksum": last, "chain": chain.state, "batches": [*doc.get("batches", []), batch]})
                 return [r[0] for r in rows]
             except Conflict:
-                from pipehat.runtime import remove
-
                 remove(self.spark, f"{self.root}/log/{batch}")
 
     def read(self) -> DataFrame:
@@ -140,12 +136,30 @@ class AuditLog:
     def statistics(self, start: int | None = None, end: int | None = None) -> DataFrame:
         return statistics(self.read(), start, end)
 
-    def verify(self) -> DataFrame:
-        """broken() rows; also a missing first or last event shows, by the manifest's last id."""
-        log, last = self.read(), self.manifest.read()[1].get("last_id", 0)
+    def verify(self, low: int | None = None, high: int | None = None) -> DataFrame:
+        """broken() rows with ids from low to high, both included; also a missing first or last event shows, by the manifest's
+        last id, and a last checksum other than the manifest's."""
+        log, doc = self.read(), self.manifest.read()[1]
+        last = doc.get("last_id", 0)
         ends = self.spark.createDataFrame([(1,), (last,)] if last else [], "event_id bigint").distinct()
         lost = ends.join(log.select("event_id"), "event_id", "left_anti").withColumn("problem", F.lit("missing"))
-        return broken(log).unionByName(lost)
+        other = log.where((F.col("event_id") == last) & (F.col("checksum") != doc.get("last_checksum", ""))).select("event_id", F.lit("link").alias("problem"))
+        found = broken(log).unionByName(lost).unionByName(other).distinct()
+        return found.where(F.col("event_id").between(1 if low is None else low, last if high is None else high))
+
+    def compact(self, files: int = 1) -> None:
+        """Rewrite all batches as one; readers of an earlier version have to read again."""
+        version, doc = self.manifest.read()
+        old, batch = doc.get("batches", []), uuid.uuid4().hex
+        if len(old) < 2:
+            return
+        self.read().repartitionByRange(files, "event_id").sortWithinPartitions("event_id").write.parquet(f"{self.root}/log/{batch}")
+        try:
+            self.manifest.commit(version, doc | {"batches": [batch]})
+        except Conflict:  # someone has appended: another time
+            remove(self.spark, f"{self.root}/log/{batch}")
+            return
+        remove(self.spark, *(f"{self.root}/log/{b}" for b in old))
 
     def export(self, path: str, start: int | None = None, end: int | None = None, form: str = "json") -> None:
         """The events of a range of times as JSON lines or CSV."""
@@ -153,15 +167,17 @@ class AuditLog:
         writer.option("header", True).csv(path) if form == "csv" else writer.json(path)
 
     def seal(self, path: str) -> None:
-        """Write the last id and hash to a file elsewhere, to compare with later."""
+        """Write the last id and checksum, which all events up to there enter, to a file elsewhere, to compare with later."""
         doc = self.manifest.read()[1]
-        write_text(self.spark, path, json.dumps({k: doc.get(k) for k in ("last_id", "last_hash")}), overwrite=True)
+        write_text(self.spark, path, json.dumps({k: doc.get(k) for k in ("last_id", "last_checksum")}), overwrite=True)
 
     def sealed_is_kept(self, path: str) -> bool:
-        """Whether the log still holds the event a seal names, unchanged."""
+        """Whether the log still holds all events up to the one a seal names, unchanged."""
         if not exists(self.spark, path):
             return False
         seal = json.loads(read_text(self.spark, path))
         if not seal["last_id"]:
             return True
-        return bool(self.read().where((F.col("event_id") == seal["last_id"]) & (F.col("payload_hash") == seal["last_hash"])).where(payload_hash() == F.col("payload_hash")).take(1))
+        kept = self.read().where(F.col("event_id") <= seal["last_id"])
+        named = kept.where((F.col("event_id") == seal["last_id"]) & (F.col("checksum") == seal["last_checksum"]))
+        return bool(named.take(1)) and broken(kept).isEmpty()
