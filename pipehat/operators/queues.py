@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from pipehat.functions import hl7
 from pipehat.runtime import remove
-from pipehat.storage import Conflict, Manifest, exists
+from pipehat.storage import Conflict, Manifest, exists, size_of
 
 #: Up to so many batches, a row of numbers each, their table is broadcast.
 BROADCAST_BATCHES = 100_000
@@ -81,11 +81,23 @@ class QueueState:
         elif high > low:
             self.lost.append([low, high])
 
-    def rotate(self) -> None:
-        """Forget the oldest past message."""
-        self.skip()
-        self.history += 1
+    def forget(self, n: int) -> None:
+        """Forget the oldest n past messages."""
         self.skip()
+        while n > 0 and self.history < self.head:
+            step = min(n, (self.lost[0][0] if self.lost else self.head) - self.history)
+            self.history, n = self.history + step, n - step
+            self.skip()
+
+    def take(self, n: int, limit: int, rotate: bool, lossy: bool) -> int:
+        """Pop up to n messages; how many of them were taken, from the old head on. limit 0 means none."""
+        n, start, room = min(n, self.active_size), self.head, max(0, limit - self.history_size)
+        kept = n if not limit or rotate else min(n, room)
+        self.head += n if lossy else kept
+        self.lose(start + kept, self.head)
+        if limit and rotate:
+            self.forget(max(0, kept - room))  # one for each that comes
+        return kept
 
     def skip(self) -> None:
         while self.lost and self.lost[0][0] <= self.history:
@@ -259,9 +271,10 @@ class QueueStore:
             info = self.spark.createDataFrame([(k, p[0], p[2], p[3], p[4], p[5]) for k, p in table.items()], "folder string, queue string, first_seq bigint, first_id bigint, low bigint, high bigint")
             rows = rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).join(F.broadcast(info) if len(parts) <= BROADCAST_BATCHES else info, "folder")
             rows = rows.where("offset >= low AND offset < high").withColumns({"seq": F.col("offset") + F.col("first_seq"), "msg_id": F.col("offset") + F.col("first_id")})
-        for name, ranges in (lost or {}).items():
-            for low, high in ranges:
-                rows = rows.where(~((F.col("queue") == name) & F.col("seq").between(low, high - 1)))
+        gone = [(name, low, high) for name, ranges in (lost or {}).items() for low, high in ranges]
+        if gone:
+            ranges = F.array(*(F.struct(F.lit(q).alias("queue"), F.lit(low).alias("low"), F.lit(high).alias("high")) for q, low, high in gone))
+            rows = rows.where(~F.exists(ranges, lambda r: (r["queue"] == F.col("queue")) & (r["low"] <= F.col("seq")) & (F.col("seq") < r["high"])))
         return rows.select(*LOG_SCHEMA.fieldNames())
 
     def active(self, name: str, version: int | None = None) -> DataFrame:
@@ -289,23 +302,11 @@ class QueueStore:
 
         def edit(doc):
             q = self._queue(doc, name)
-            limit, rotate, kept = doc["history_limit"], doc["rotate"], []
-            for _ in range(min(n, q.active_size)):
-                if limit and q.history_size >= limit:
-                    if not rotate:
-                        if not self.lossy_reject:
-                            break
-                        q.lose(q.head, q.head + 1)
-                        q.head += 1
-                        continue
-                    q.rotate()
-                kept.append(q.head)
-                q.head += 1
-            taken[:] = [(kept[0], kept[-1] + 1)] if kept else []
+            start = q.head
+            taken[:] = [(start, start + q.take(n, doc["history_limit"], doc["rotate"], self.lossy_reject))]
 
         self.change(edit)
-        doc = self.state()[1]
-        return self.messages(doc, {name: taken[0]} if taken else {})
+        return self.messages(self.state()[1], {name: taken[0]})
 
     def clear_history(self, name: str) -> int:
         """Forget the history for good; how many messages it had. Batches nothing names any more are deleted."""
@@ -341,31 +342,39 @@ class QueueStore:
         rows = [(k, q.active_size, q.history_size, q.active_size + q.history_size) for k, q in sorted(doc["queues"].items())]
         return self.spark.createDataFrame(rows, "queue string, messages bigint, history bigint, total bigint")
 
-    def compact(self, name: str, files: int = 1) -> None:
-        """Rewrite a queue's batches as one; numbers stay as they are."""
-        version, doc = self.state()
+    def compact(self, name: str, file_bytes: int = 128 << 20) -> None:
+        """Rewrite runs of a queue's batches whose ids follow one another as one batch each, in files of about file_bytes; numbers
+        stay as they are."""
+        doc = self.state()[1]
         q = self._queue(doc, name)
-        if len(q.batches) < 2:
-            return
-        low, high = q.history, q.tail
-        first = [b.split("-") for b in q.batches]
-        rows = self.messages(doc, {name: (low, high)})
-        # ids are dense within a batch only: the merged batch keeps them in runs, one batch name for each run
-        runs = sorted((int(s), int(i), int(n)) for _, s, i, n in first if int(s) < high and int(s) + int(n) > low)
-        if any(a[0] + a[2] != b[0] or a[1] + a[2] != b[1] for a, b in zip(runs, runs[1:], strict=False)):
+        runs: list[list[tuple[int, int, int, str]]] = []
+        for b in sorted(q.batches, key=lambda b: int(b.split("-")[1])):
+            s, i, n = map(int, b.split("-")[1:])
+            if runs and (x := runs[-1][-1])[0] + x[2] == s and x[1] + x[2] == i:
+                runs[-1].append((s, i, n, b))
+            else:
+                runs.append([(s, i, n, b)])
+        merged: dict[str, str] = {}  # old batch -> the one that takes its place
+        for run in runs:
+            if len(run) > 1:
+                start, ident, end = run[0][0], run[0][1], run[-1][0] + run[-1][2]
+                rows = self.messages(doc, {name: (start, end)})
+                size = sum(size_of(self.spark, self._batch(name, b)) for *_, b in run)
+                batch = uuid.uuid4().hex
+                rows = rows.withColumn("offset", F.col("seq") - start).drop("seq", "msg_id", "queue").repartitionByRange(max(1, -(-size // file_bytes)), "msh7_ts", "offset")
+                rows.sortWithinPartitions("msh7_ts", "offset").write.parquet(f"{self.root}/data/{batch}")
+                merged |= dict.fromkeys((b for *_, b in run), f"{batch}-{start}-{ident}-{end - start}")
+        if not merged:
             return
-        batch, start, ident = uuid.uuid4().hex, runs[0][0], runs[0][1]
-        rows.withColumn("offset", F.col("seq") - start).drop("seq", "msg_id", "queue").sortWithinPartitions("msh7_ts", "offset").coalesce(files).write.parquet(f"{self.root}/data/{batch}")
-        merged = f"{batch}-{start}-{ident}-{high - start}"
 
         def edit(new):
             now = self._queue(new, name)
-            if now.batches[: len(q.batches)] != q.batches:
+            if not set(merged) <= set(now.batches):
                 raise QueueProblem(f"queue {name} was changed meanwhile", -2)
-            now.batches = [merged, *now.batches[len(q.batches) :]]
+            now.batches = list(dict.fromkeys(merged.get(b, b) for b in now.batches))
 
         self.change(edit)
-        remove(self.spark, *(self._batch(name, b) for b in q.batches))
+        remove(self.spark, *(self._batch(name, b) for b in merged))
 
 
 def fifo_position(df: DataFrame) -> DataFrame:

@@ -30,12 +30,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session makes one of its own; on a
+    cluster it has to be set."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if not getattr(sc, "_pipehat_shared", None):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc._pipehat_shared = "file://" + tempfile.mkdtemp(prefix="pipehat-shared-")
         sc.setCheckpointDir(sc._pipehat_shared)
     return sc._pipehat_shared

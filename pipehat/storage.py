@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -18,35 +19,57 @@ class Manifest:
     """A document with numbered versions below a folder.
 
     A version is written beside its place and renamed there, which fails if it exists; so readers see whole versions and of two
-    writers one starts again.
+    writers one starts again. A pointer beside the versions tells a recent one, from which readers go on to the newest, so that
+    reading doesn't list the folder. The last KEPT versions can be read; older ones go, some at a time.
     """
 
+    KEPT, STEP = 1024, 64
+
     def __init__(self, spark: SparkSession, folder: str, name: str = "manifest"):
         self.spark, self.folder, self.name = spark, folder.rstrip("/"), name
         self.fs, path = hadoop_path(spark, self.folder)
         self.fs.mkdirs(path)
 
-    def _path(self, name: str):
-        return hadoop_path(self.spark, f"{self.folder}/{name}")[1]
+    def _file(self, version: int) -> str:
+        return f"{self.folder}/{self.name}.{version:010d}.json"
+
+    def _path(self, version: int):
+        return hadoop_path(self.spark, self._file(version))[1]
 
     def versions(self) -> list[int]:
+        """All that are kept, by a listing."""
         start = f"{self.name}."
         names = (s.getPath().getName() for s in self.fs.listStatus(hadoop_path(self.spark, self.folder)[1]))
         return sorted(int(n[len(start) : -5]) for n in names if n.startswith(start) and n.endswith(".json"))
 
+    def newest(self) -> int:
+        """The newest version, 0 before the first."""
+        pointer = f"{self.folder}/{self.name}.latest"
+        text = read_text(self.spark, pointer) if exists(self.spark, pointer) else ""
+        version = int(text) if text.isdigit() else 0
+        if not version or not self.fs.exists(self._path(version)):  # no pointer, or one caught half written
+            version = max(self.versions(), default=0)
+        while self.fs.exists(self._path(version + 1)):
+            version += 1
+        return version
+
     def read(self, version: int | None = None) -> tuple[int, dict]:
         """(version, document); (0, {}) before the first."""
-        version = max(self.versions(), default=0) if version is None else version
-        return (version, json.loads(read_text(self.spark, f"{self.folder}/{self.name}.{version:010d}.json"))) if version else (0, {})
+        version = self.newest() if version is None else version
+        return (version, json.loads(read_text(self.spark, self._file(version)))) if version else (0, {})
 
     def commit(self, base: int, document: dict) -> int:
         """Make the version after base."""
-        final, draft = self._path(f"{self.name}.{base + 1:010d}.json"), f"{self.folder}/.{uuid.uuid4().hex}.tmp"
+        version, draft = base + 1, f"{self.folder}/.{uuid.uuid4().hex}.tmp"
         write_text(self.spark, draft, json.dumps(document, sort_keys=True))
-        if self.fs.exists(final) or not self.fs.rename(hadoop_path(self.spark, draft)[1], final):
+        if self.fs.exists(self._path(version)) or not self.fs.rename(hadoop_path(self.spark, draft)[1], self._path(version)):
             self.fs.delete(hadoop_path(self.spark, draft)[1], False)
-            raise Conflict(f"version {base + 1} exists")
-        return base + 1
+            raise Conflict(f"version {version} exists")
+        write_text(self.spark, f"{self.folder}/{self.name}.latest", str(version), overwrite=True)
+        if version % self.STEP == 0:
+            for old in range(max(1, version - self.KEPT - self.STEP), version - self.KEPT):
+                self.fs.delete(self._path(old), False)
+        return version
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
@@ -58,6 +81,16 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
         stream.close()
 
 
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a text in a file's place in one step: readers see the old one or the new one, whole."""
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    write_text(spark, draft, text)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path(spark, path)[0].getUri(), spark._jsc.hadoopConfiguration())
+    options = spark._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(hadoop_path(spark, draft)[1], hadoop_path(spark, path)[1], options)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = hadoop_path(spark, path)
     stream = fs.open(p)
@@ -90,6 +123,12 @@ def files_below(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
+def copy_all(spark: SparkSession, pairs: list[tuple[str, str]], at_once: int = 16) -> None:
+    """Copy many files, some at once; their bytes go through the driver's file system clients, a buffer each."""
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(lambda p: copy(spark, *p), pairs))
+
+
 def copy(spark: SparkSession, source: str, target: str) -> None:
     """Copy a file or folder within Spark's file systems."""
     (fs, a), (to, b) = hadoop_path(spark, source), hadoop_path(spark, target)

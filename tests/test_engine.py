@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from pipehat.operators.engine import Engine, query
-from pipehat.operators.queues import QueueProblem, by_time, fifo_position, stored
+from pipehat.operators.queues import QueueProblem, QueueState, by_time, fifo_position, stored
 from pipehat.plans.bind import BindProblem, Semantics
 
 from .samples import ADT_JONES, admission
@@ -138,6 +140,40 @@ def test_rotation(spark, root):
     assert controls(e.store.history("q")) == [f"MSG00{i}" for i in range(5, 10)]
 
 
+def test_pops_against_a_plain_version():
+    rnd = random.Random(3)
+    for _ in range(300):
+        q, active, past = QueueState(), [], []
+        for _ in range(8):
+            limit, rotate, lossy, n = rnd.choice((0, 1, 3, 6)), rnd.random() < 0.5, rnd.random() < 0.5, rnd.randint(0, 7)
+            active += range(q.tail, q.tail + (more := rnd.randint(0, 6)))
+            q.tail += more
+            start, taken = q.head, []
+            for _ in range(min(n, len(active))):
+                if limit and len(past) >= limit:
+                    if not rotate:
+                        if not lossy:
+                            break
+                        active.pop(0)
+                        continue
+                    past.pop(0)
+                taken.append(active.pop(0))
+                past.append(taken[-1])
+            got = q.take(n, limit, rotate, lossy)
+            assert list(range(start, start + got)) == taken and list(range(q.head, q.tail)) == active
+            assert [x for x in range(q.history, q.head) if not any(a <= x < b for a, b in q.lost)] == past and q.history_size == len(past)
+
+
+def test_compaction_keeps_runs_of_ids(spark, root):
+    e = filled(spark, root, 3)
+    e.sql("CREATE QUEUE other")
+    for queue in ("q", "other", "q", "q"):
+        e.sql(f"INSERT MESSAGE INTO {queue} '{ADT_JONES}'")
+    before = sorted((r.seq, r.msg_id, r.msh9) for r in e.store.active("q").collect())
+    e.store.compact("q")
+    assert len(e.store.state()[1]["queues"]["q"].batches) == 2 and sorted((r.seq, r.msg_id, r.msh9) for r in e.store.active("q").collect()) == before
+
+
 def test_several_batches_and_queues(spark, root):
     e = filled(spark, root, 4)
     more = spark.createDataFrame([(i, admission(i, "P")) for i in (11, 10)], "i int, raw_message string")

@@ -1,13 +1,18 @@
+import hashlib
 import json
+import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pipehat.functions import codec
-from pipehat.operators import audit, mfa, monitor
+from pipehat.operators import audit, chain, mfa, monitor
 from pipehat.operators.audit import AuditFilter, AuditLog
 from pipehat.operators.backup import Backups
 from pipehat.operators.engine import Engine
+from pipehat.functions.redact import OFF
 from pipehat.operators.security import EVERYTHING, ROLES, Accounts, Denied, Permission, SecureEngine
 from pipehat.sources import readers
 from pipehat.storage import Conflict, Manifest, write_text
@@ -59,11 +64,38 @@ def test_audit(log, tmp_path):
 def test_tampering_shows(log):
     rows = log.read()
     changed = rows.withColumn("username", F.when(F.col("event_id") == 2, "x").otherwise(F.col("username")))
-    assert {tuple(r) for r in audit.broken(changed).collect()} == {(2, "changed"), (3, "link")}
+    assert {tuple(r) for r in audit.broken(changed).collect()} == {(2, "changed")}
+    # a hash changed to match betrays itself by all later checksums
+    forged = changed.withColumn("payload_hash", audit.payload_hash())
+    assert {tuple(r) for r in audit.broken(forged).collect()} == {(2, "link"), (3, "link")}
     assert {tuple(r) for r in audit.broken(rows.where("event_id <> 2")).collect()} == {(3, "link")}
     assert audit.broken(rows.limit(0)).count() == 0
 
 
+def test_chain_against_a_plain_version(spark):
+    """Dense ids and ids with gaps, several levels of blocks; grown row by row and made at once."""
+    rnd = random.Random(4)
+    for ids in ([], [7], list(range(1, 300)), sorted(rnd.sample(range(20_000), 400)), [1, 2, 5, 6, 64, 4096, 300_000]):
+        rows = [(n, hashlib.sha256(str(n).encode()).hexdigest()) for n in ids]
+        got = {r.id: (r.previous_id, r.checksum) for r in chain.linked(spark.createDataFrame(rows, "id bigint, hash string")).collect()}
+        grown, before, expected = chain.Chain(), None, {}
+        for i, (n, h) in enumerate(rows):
+            if i % 7 == 0:
+                grown = chain.Chain(json.loads(json.dumps(grown.state)))
+            expected[n] = (before, grown.add(n, h))
+            before = n
+        assert got == expected
+
+
+def test_verification_of_a_log_in_batches(log):
+    log.append([{"event_type": "more", "user_id": k} for k in range(200)])
+    assert log.verify().count() == 0
+    log.compact()
+    assert log.read().count() == 203 and log.verify().count() == 0 and log.verify(2, 50).count() == 0
+    log.append([{"event_type": "after"}])
+    assert log.verify().count() == 0 and len(log.manifest.read()[1]["batches"]) == 2
+
+
 # -- security -----------------------------------------------------------------------------------------------------------
 def test_accounts():
     clock = Clock()
@@ -122,10 +154,16 @@ def test_secure_statements(spark, tmp_path):
     assert s.run(token["doc"], f"INSERT MESSAGE INTO q '{ADT_JONES}'").code == 0 and s.run(token["reader"], "INSERT MESSAGE INTO q 'x'").code == -3
     ask = "SELECT segment.PID[3] AS pid FROM q"
     assert s.run(token["doc"], ask).value(0, 0) == "123456789" and s.run(token["reader"], ask).value(0, 0) == "[REDACTED]"
+    # whatever the expression, the alias, the order or the redaction asked for; and no condition tells what is hidden
+    for text in ("SELECT segment.PID[3] AS a FROM q", "SELECT segment.PID[5] AS msg_type FROM q"):
+        assert s.run(token["reader"], text, OFF).value(0, 0) == "[REDACTED]"
+    for text in ("SELECT * FROM q WHERE segment.PID[3] = '123456789'", "SELECT segment.MSH[3] AS a FROM q WHERE segment.MSH[3] = 'x' OR segment.PID[5] LIKE 'J%'"):
+        assert s.run(token["reader"], text).code == 2 and s.run(token["doc"], text).code == 0
+    assert "JONES" not in s.run(token["reader"], "SELECT * FROM q").text() and "JONES" in s.run(token["doc"], "SELECT * FROM q").text()
     assert s.run(token["nobody"], ask).code == -3 and s.run("no token", ask).code == -1 and s.run(token["doc"], "nonsense").code == 1
     assert s.run(token["reader"], "POP MESSAGE FROM q").code == -3 and s.run(token["doc"], "CLEAR HISTORY q").code == -3 and s.run(token["admin"], "CLEAR HISTORY q").code == 0
     rows = log.read().collect()
-    assert len(rows) == 12 and sum(r.phi_accessed for r in rows) == 2 and log.verify().count() == 0
+    assert len(rows) == 20 and sum(r.phi_accessed for r in rows) == 5 and log.verify().count() == 0
     assert not any("JONES" in json.dumps(r.asDict()) for r in rows)
 
 
@@ -167,10 +205,50 @@ def test_backups(spark, tmp_path):
     assert not b.verify(third.backup_id)
     with pytest.raises(ValueError):
         b.export(third.backup_id, f"file://{tmp_path}/dr2")
+    # two files that change places show
+    fourth = b.full()
+    one, two = tmp_path / f"backups/{fourth.backup_id}/a/one", tmp_path / f"backups/{fourth.backup_id}/two"
+    for path, text in ((one, two.read_text()), (two, one.read_text())):
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+        path.write_text(text)
+    assert not b.verify(fourth.backup_id)
     log = spark.createDataFrame([(1,), (5,)], "timestamp bigint")
     assert b.archive(log, 3, f"{tmp_path}/archive") == 1
 
 
+def test_backup_schedule(spark, tmp_path):
+    clock = Clock()
+    write_text(spark, f"file://{tmp_path}/data/one", "1")
+    b = Backups(spark, f"file://{tmp_path}/data", f"file://{tmp_path}/backups", clock)
+    stop = b.schedule(100, full_weekday=time.gmtime(NOW).tm_wday, keep_days=1, look_every=0.02)
+
+    def wait(n):
+        end = time.time() + 20
+        while len(b.all()) < n and time.time() < end:
+            time.sleep(0.05)
+        return [x.kind for x in b.all()]
+
+    try:
+        assert wait(1) == ["full"]
+        clock.now += 100
+        assert wait(2) == ["full", "full"]
+    finally:
+        stop.set()
+    assert isinstance(stop, threading.Event)
+
+
+def test_manifest_pointer_and_old_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Manifest, "KEPT", 4)
+    monkeypatch.setattr(Manifest, "STEP", 2)
+    m = Manifest(spark, f"file://{tmp_path}/m")
+    for n in range(12):
+        assert m.commit(n, {"n": n + 1}) == n + 1
+    assert m.read() == (12, {"n": 12}) and m.versions() == list(range(8, 13))
+    for pointer in ("9", "", "77", "x"):  # behind, or caught half written
+        write_text(spark, f"file://{tmp_path}/m/manifest.latest", pointer, overwrite=True)
+        assert Manifest(spark, f"file://{tmp_path}/m").read()[0] == 12
+
+
 # -- sources ------------------------------------------------------------------------------------------------------------
 def test_readers(spark, tmp_path):
     (tmp_path / "m.hl7").write_text(ADT_JONES + "\n" + ORU_CBC + "\n", newline="")
