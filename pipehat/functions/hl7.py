@@ -10,6 +10,7 @@ Numbering of MSH: "as_coded" counts the text after the first separator as field
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -235,9 +236,9 @@ def validation_text(code: Column) -> Column:
 
 
 # -- whole messages -----------------------------------------------------------------------------------------------------
-def parse(df: DataFrame, raw: str = "raw_message", numbering: str = "as_coded", normalize_newlines: bool = False, shred: bool = True) -> DataFrame:
-    """df with enc, segments, num_segments, parse_errors, error_message, msg_type, msg_type_code, version and, if shred, the
-    shredded columns. A null text stays a row with NULLs and no segments; text that is no message has one parse error."""
+def parse(df: DataFrame, raw: str = "raw_message", numbering: str = "as_coded", normalize_newlines: bool = False, shred: bool | Mapping[str, tuple[str, int]] = True) -> DataFrame:
+    """df with enc, segments, num_segments, parse_errors, error_message, msg_type, msg_type_code, version and, if shred, msh7_ts
+    and the shredded columns: the usual ones, or those named. A null text stays a row with NULLs and no segments; text that is no message has one parse error."""
     r = F.col(raw)
     short = F.size(F.filter(lines_of(r, normalize_newlines), lambda s: F.length(s) < 3))
     out = df.withColumns(
@@ -257,9 +258,9 @@ def parse(df: DataFrame, raw: str = "raw_message", numbering: str = "as_coded",
             "version": version_code(read("MSH", 12)),
         }
     )
-    if shred:
-        out = out.withColumns({k: read(*v) for k, v in SHREDDED[numbering].items()})
-        out = out.withColumn("msh7_ts", epoch(F.col("msh7"))).drop("msh7")
+    if shred is not False:
+        kept = SHREDDED[numbering] if shred is True else shred
+        out = out.withColumns({k: read(*v) for k, v in kept.items() if k != "msh7"} | {"msh7_ts": epoch(read("MSH", 7))})
     return out
 
 

@@ -99,26 +99,41 @@ def redact_message(raw: Column, how: Redaction | None = None, drop_unterminated_
     how = how or DEFAULT
     if how.mode == NONE:
         return raw
-    covered = how.covered()
+    text = raw
+    if drop_unterminated_tail:
+        cut = F.regexp_replace(raw, r"(?<=\|)[^|\r]*$", "")
+        text = F.when(raw.endswith("\r"), raw).otherwise(cut)
+    numbers: dict[str, list[int]] = {}
+    for f in how.covered():
+        segment, n = f.split("-")
+        numbers.setdefault(segment, []).append(int(n))
+    if how.mode != FULL:
+        return _by_lines(text, numbers, how.mode)
+    # a mark that is always the same needs no fields: one replacement for each protected one, inside code generation
+    out = text
+    for segment, ns in numbers.items():
+        for n in ns:
+            out = F.regexp_replace(out, rf"((?:^|\r){segment}[^|\r]*(?:\|[^|\r]*){{{n - 1}}}\|)[^|\r]+", rf"$1{MARK}")
+    named = F.regexp_like(text, F.lit(rf"(?:^|\r)(?:{'|'.join(PHI_WORDS)})"))
+    return F.when(named, _by_lines(text, numbers, how.mode)).otherwise(out)
+
+
+def _by_lines(text: Column, numbers: dict[str, list[int]], mode: str) -> Column:
+    """The message with the protected fields, by number in each segment, redacted one by one; all of a segment that one of
+    PHI_WORDS names."""
 
     def line(s: Column) -> Column:
-        fields = F.split(s, r"\|", -1)
-        head = F.get(fields, F.lit(0))
-        own = F.when(F.length(head) >= 3, F.substring(head, 1, 3)).otherwise("")
+        fields, own = F.split(s, r"\|", -1), F.substring(s, 1, 3)
 
         def field(f: Column, j: Column) -> Column:
-            name = F.concat_ws("-", own, j.cast("string"))
-            protected = name.isin(*covered)
-            for w in PHI_WORDS:
-                protected = protected | name.contains(w)
-            return F.when((j > 0) & (f != "") & protected, redact_value(f, how.mode)).otherwise(f)
+            protected = own.isin(*PHI_WORDS)
+            for segment, ns in numbers.items():
+                protected = protected | (own == segment) & j.isin(*ns)
+            return F.when((j > 0) & (f != "") & protected, redact_value(f, mode)).otherwise(f)
 
-        return F.array_join(F.transform(fields, field), "|")
+        # a shorter head than an id has none
+        return F.when(own.isin(*PHI_WORDS, *numbers) & ~F.substring(s, 1, 3).contains("|"), F.array_join(F.transform(fields, field), "|")).otherwise(s)
 
-    text = raw
-    if drop_unterminated_tail:
-        cut = F.regexp_replace(raw, r"(?<=\|)[^|\r]*$", "")
-        text = F.when(raw.endswith("\r"), raw).otherwise(cut)
     return F.array_join(F.transform(F.split(text, "\r", -1), line), "\r")
 
 
@@ -130,14 +145,19 @@ def redact_frame(df: DataFrame, how: Redaction | None = None, fields: dict[str,
     return df.withColumns(new) if new else df
 
 
+def covered(field_id: Column, how: Redaction) -> Column:
+    """Whether the redaction covers the field that a column names."""
+    out = field_id.isin(*how.covered())
+    if how.mode != NONE:
+        for w in PHI_WORDS:
+            out = out | field_id.contains(w)
+    return out
+
+
 def redact_exploded(df: DataFrame, how: Redaction | None = None) -> DataFrame:
     """Exploded messages (segment, field, value) with protected values redacted."""
     how = how or DEFAULT
-    name = F.concat_ws("-", "segment", F.col("field").cast("string"))
-    protected = name.isin(*how.covered())
-    if how.mode != NONE:
-        for w in PHI_WORDS:
-            protected = protected | name.contains(w)
+    protected = covered(F.concat_ws("-", "segment", F.col("field").cast("string")), how)
     return df.withColumn("value", F.when(protected & (F.col("value") != ""), redact_value(F.col("value"), how.mode)).otherwise(F.col("value")))
 
 

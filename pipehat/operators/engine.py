@@ -32,7 +32,7 @@ class Engine:
         self.extended, self.zero_means_all, self.clock = extended, zero_means_all, clock
 
     def semantics(self, redact: Redaction | None = None, guarded: bool = False) -> Semantics:
-        return Semantics(int(self.clock()), self.store.numbering, self.zero_means_all, self.extended, redaction=redact, guarded=guarded)
+        return Semantics(int(self.clock()), self.store.numbering, self.zero_means_all, self.extended, self.store.indexed, redact, guarded)
 
     def source(self, s: ast.Source) -> DataFrame:
         if s.kind == "queue":

@@ -16,17 +16,19 @@ def _event(df: DataFrame, kind: str, severity: str, timestamp, details) -> DataF
     return df.select(F.lit(kind).alias("event_type"), F.lit(SEVERITY[severity]).alias("severity"), timestamp.cast("bigint").alias("timestamp"), optional("user_id").cast("bigint").alias("user_id"), optional("client_ip").cast("string").alias("client_ip"), details.alias("details"))
 
 
-def after_hours(log: DataFrame, hours: tuple[int, int] = OFFICE_HOURS) -> DataFrame:
-    """Access to protected data before the first hour or from the second one on, in session time."""
-    hour = F.hour(F.timestamp_seconds("timestamp"))
+def after_hours(log: DataFrame, hours: tuple[int, int] = OFFICE_HOURS, utc_offset: float = 0) -> DataFrame:
+    """Access to protected data before the first hour or from the second one on, that many hours from UTC, whatever the
+    session's zone."""
+    hour = F.floor(F.pmod(F.col("timestamp") + int(utc_offset * 3600), F.lit(86400)) / 3600)
     odd = log.where(F.col("phi_accessed") & ((hour < hours[0]) | (hour >= hours[1])))
-    return _event(odd, "after_hours_access", "medium", F.col("timestamp"), F.concat(F.lit("hour "), F.hour(F.timestamp_seconds("timestamp")).cast("string")))
+    return _event(odd, "after_hours_access", "medium", F.col("timestamp"), F.concat(F.lit("hour "), hour.cast("string")))
 
 
-def brute_force(log: DataFrame, failures: int = 5, window: str = "15 minutes", by: str = "client_ip") -> DataFrame:
-    """Sources with at least so many failures within a window."""
+def brute_force(log: DataFrame, failures: int = 5, window: str = "15 minutes", by: str = "client_ip", slide: str | None = None) -> DataFrame:
+    """Sources with at least so many failures within a window. Windows follow one another, or begin anew after each slide, so
+    that what crosses the end of one shows in another."""
     failed = log.where(~F.col("success")).withColumn("at", F.timestamp_seconds("timestamp"))
-    counted = failed.groupBy(F.window("at", window).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= failures)
+    counted = failed.groupBy(F.window("at", window, slide or window).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= failures)
     return _event(counted, "brute_force", "high", F.unix_timestamp("w.end"), F.concat(F.col("n").cast("string"), F.lit(" failures of "), F.col(by).cast("string")))
 
 

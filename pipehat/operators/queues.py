@@ -13,10 +13,10 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,11 +41,6 @@ LOG_SCHEMA = T.StructType(
         T.StructField("msg_type", T.StringType()),
         T.StructField("msg_type_code", T.StringType()),
         T.StructField("version", T.StringType()),
-        T.StructField("pid3", T.StringType()),
-        T.StructField("msh9", T.StringType()),
-        T.StructField("msh3", T.StringType()),
-        T.StructField("msh10", T.StringType()),
-        T.StructField("pv119", T.StringType()),
         T.StructField("msh7_ts", T.LongType()),
         T.StructField("queue", T.StringType()),
     ]
@@ -109,14 +104,29 @@ class QueueState:
 
 
 class QueueStore:
-    """Queues below a folder that all executors share. history_limit 0 means none."""
-
-    def __init__(self, spark: SparkSession, root: str, numbering: str = "as_coded", history_limit: int = 0, rotate: bool = False, lossy_reject: bool = False, clock: Callable[[], float] = time.time):
+    """Queues below a folder that all executors share. history_limit 0 means none. indexed: fields kept as columns of their own,
+    by the columns' names, the usual ones unless told; a store keeps to what it was made with."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        numbering: str = "as_coded",
+        history_limit: int = 0,
+        rotate: bool = False,
+        lossy_reject: bool = False,
+        clock: Callable[[], float] = time.time,
+        indexed: Mapping[str, tuple[str, int]] | None = None,
+    ):
         self.spark, self.root, self.numbering, self.clock, self.lossy_reject = spark, root.rstrip("/"), numbering, clock, lossy_reject
         self.manifest = Manifest(spark, f"{self.root}/manifest")
         version, state = self.manifest.read()
         if version == 0:
-            self.manifest.commit(0, {"queues": {}, "next_id": 1, "history_limit": history_limit, "rotate": rotate})
+            fields = hl7.SHREDDED[numbering] if indexed is None else indexed
+            state = {"queues": {}, "next_id": 1, "history_limit": history_limit, "rotate": rotate, "indexed": {k: list(v) for k, v in fields.items() if k != "msh7"}}
+            self.manifest.commit(0, state)
+        self.indexed = {k: tuple(v) for k, v in state["indexed"].items()}
+        self.schema = T.StructType([*LOG_SCHEMA.fields[:-1], *(T.StructField(k, T.StringType()) for k in self.indexed), LOG_SCHEMA.fields[-1]])
 
     # -- state --------------------------------------------------------------------------------------------------------
     def state(self, version: int | None = None) -> tuple[int, dict]:
@@ -202,50 +212,60 @@ class QueueStore:
         Rows are dealt into ranges of the order and written as they are; the ranges' sizes then give each row its place.
         """
         self._queue(self.state()[1], queue)
-        kept = df.select("raw_message", (F.col("timestamp").cast("bigint") if "timestamp" in df.columns else F.lit(int(self.clock()))).alias("timestamp"), *(F.struct(*order_by).alias("o"),) if order_by else (F.lit(0).alias("o"),))
+        name = F.lit(queue)
+        return self._insert(df, name, order_by, also).get(queue) or (self.state()[1]["next_id"], 0)
+
+    def insert_dealt(self, df: DataFrame, by: str, order_by: Sequence[Column | str]) -> dict[str, tuple[int, int]]:
+        """All rows of df into the queues that its column `by` names, in one pass and one commit; (first id, number) of each
+        queue that got any."""
+        return self._insert(df, F.col(by).cast("string"), order_by, None)
+
+    def _insert(self, df: DataFrame, queue: Column, order_by: Sequence[Column | str], also: Callable[[dict], object] | None) -> dict[str, tuple[int, int]]:
+        order = F.struct(*order_by) if order_by else F.lit(0)
+        kept = df.select(queue.alias("q"), "raw_message", (F.col("timestamp").cast("bigint") if "timestamp" in df.columns else F.lit(int(self.clock()))).alias("timestamp"), order.alias("o"))
         if order_by:
             # the whole row breaks ties, so that the order doesn't hang on how rows lie
-            keys = [F.col("o"), F.col("timestamp"), F.col("raw_message")]
+            keys = [F.col(c) for c in ("q", "o", "timestamp", "raw_message")]
             kept = kept.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        kept.select("raw_message", "timestamp", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")).write.parquet(staged)
+        staged, batch = f"{self.root}/staged/{uuid.uuid4().hex}", uuid.uuid4().hex
+        kept.select("q", "raw_message", "timestamp", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")).write.parquet(staged)
         rows = self.spark.read.parquet(staged)
-        counts = sorted((r.part, r["count"]) for r in rows.groupBy("part").count().collect())
-        starts, n = [], 0
-        for p, c in counts:
-            starts.append((p, n))
-            n += c
-        batch = uuid.uuid4().hex
-        if n:
-            # a partition's monotonic ids are its number shifted by 33 bits, plus the row's place in it
-            offsets = F.create_map(*(F.lit(x) for pair in starts for x in pair))
-            place = F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(offsets, F.col("part"))
-            parsed = hl7.parse(rows.withColumn("offset", place).drop("part", "place"), numbering=self.numbering)
+        # a queue's rows lie one after the other, in a partition and from one to the next
+        counts = sorted((r.q, r.part, r.first, r.n) for r in rows.groupBy("q", "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).collect())
+        total: dict[str, int] = {}
+        shifts = []
+        for q, part, first, n in counts:
+            shifts.append((q, part, total.get(q, 0) - first))
+            total[q] = total.get(q, 0) + n
+        try:
+            doc = self.state()[1]
+            for q in total:
+                self._queue(doc, q)
+            if total:
+                shift = self.spark.createDataFrame(shifts, "q string, part int, shift bigint")
+                rows = rows.join(F.broadcast(shift), ["q", "part"]).withColumn("offset", F.col("place") + F.col("shift")).drop("part", "place", "shift")
+                hl7.parse(rows, numbering=self.numbering, shred=self.indexed).write.partitionBy("q").parquet(f"{self.root}/data/{batch}")
 
             def edit(doc):
-                q = self._queue(doc, queue)
-                first_seq, first_id = q.tail, doc["next_id"]
-                # numbers must be known before the rows are written and may change until the commit, so rows keep their
-                # offset and the batch's name carries the numbers
-                q.batches.append(f"{batch}-{first_seq}-{first_id}-{n}")
-                q.tail += n
-                doc["next_id"] += n
+                out = {}
+                for q, n in total.items():
+                    state = self._queue(doc, q)
+                    # numbers must be known before the rows are written and may change until the commit, so rows keep their
+                    # offset and the batch's name carries the numbers
+                    state.batches.append(f"{batch}/q={q}-{state.tail}-{doc['next_id']}-{n}")
+                    out[q] = doc["next_id"], n
+                    state.tail += n
+                    doc["next_id"] += n
                 if also:
                     also(doc)
-                return first_id, n
+                return out
 
-            parsed.write.parquet(f"{self.root}/data/{batch}")
-            try:
-                out = self.change(edit)
-            except QueueProblem:  # dropped meanwhile
-                remove(self.spark, f"{self.root}/data/{batch}", staged)
-                raise
-        else:
-            if also:
-                self.change(also)
-            out = (self.state()[1]["next_id"], 0)
-        remove(self.spark, staged)
-        return out
+            return self.change(edit) if total or also else {}
+        except QueueProblem:  # a queue isn't there, or was dropped meanwhile
+            remove(self.spark, f"{self.root}/data/{batch}")
+            raise
+        finally:
+            remove(self.spark, staged)
 
     def _batch(self, queue: str, batch: str) -> str:
         return f"{self.root}/data/{batch.split('-')[0]}"
@@ -260,22 +280,22 @@ class QueueStore:
                 if first_seq < high and first_seq + n > low:
                     parts.append((name, self._batch(name, b), first_seq, first_id, max(low, first_seq) - first_seq, min(high, first_seq + n) - first_seq))
         if not parts:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
+            return self.spark.createDataFrame([], self.schema)
         # one scan of all batches; a small table by folder gives each its queue and numbers
-        table = {p[1].rsplit("/", 1)[1]: p for p in parts}
-        rows = self.spark.read.schema(T.StructType([*(f for f in LOG_SCHEMA if f.name not in ("seq", "msg_id", "queue")), T.StructField("offset", T.LongType())])).parquet(*(p[1] for p in parts))
+        table = {p[1].rsplit("/data/", 1)[1]: p for p in parts}
+        rows = self.spark.read.schema(T.StructType([*(f for f in self.schema if f.name not in ("seq", "msg_id", "queue")), T.StructField("offset", T.LongType())])).parquet(*(p[1] for p in parts))
         if len(parts) == 1:
             name, _, first_seq, first_id, low, high = parts[0]
             rows = rows.where(F.col("offset").between(low, high - 1)).withColumns({"seq": F.col("offset") + first_seq, "msg_id": F.col("offset") + first_id, "queue": F.lit(name)})
         else:
             info = self.spark.createDataFrame([(k, p[0], p[2], p[3], p[4], p[5]) for k, p in table.items()], "folder string, queue string, first_seq bigint, first_id bigint, low bigint, high bigint")
-            rows = rows.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).join(F.broadcast(info) if len(parts) <= BROADCAST_BATCHES else info, "folder")
+            rows = rows.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), "^.*/data/(.*)/[^/]+$", 1)).join(F.broadcast(info) if len(parts) <= BROADCAST_BATCHES else info, "folder")
             rows = rows.where("offset >= low AND offset < high").withColumns({"seq": F.col("offset") + F.col("first_seq"), "msg_id": F.col("offset") + F.col("first_id")})
         gone = [(name, low, high) for name, ranges in (lost or {}).items() for low, high in ranges]
         if gone:
             ranges = F.array(*(F.struct(F.lit(q).alias("queue"), F.lit(low).alias("low"), F.lit(high).alias("high")) for q, low, high in gone))
             rows = rows.where(~F.exists(ranges, lambda r: (r["queue"] == F.col("queue")) & (r["low"] <= F.col("seq")) & (F.col("seq") < r["high"])))
-        return rows.select(*LOG_SCHEMA.fieldNames())
+        return rows.select(*self.schema.fieldNames())
 
     def active(self, name: str, version: int | None = None) -> DataFrame:
         doc = self.state(version)[1]
@@ -287,6 +307,11 @@ class QueueStore:
         q = self._queue(doc, name)
         return self.messages(doc, {name: (q.history, q.head)}, {name: q.lost})
 
+    def positions(self, name: str, version: int | None = None) -> DataFrame:
+        """The active messages with position: 1 for the oldest. Numbers are dense, so no window is needed."""
+        version, doc = self.state(version)
+        return self.active(name, version).withColumn("position", F.col("seq") - (self._queue(doc, name).head - 1))
+
     def everything(self, version: int | None = None) -> DataFrame:
         """The active messages of all queues."""
         doc = self.state(version)[1]
@@ -377,9 +402,9 @@ class QueueStore:
         remove(self.spark, *(self._batch(name, b) for b in merged))
 
 
-def fifo_position(df: DataFrame) -> DataFrame:
-    """df of messages with position: 1 for the oldest of its queue."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy("queue").orderBy("seq")))
+def in_display_order(df: DataFrame) -> DataFrame:
+    """Messages for display: by queue and, within one, as they came in."""
+    return df.orderBy("queue", "seq")
 
 
 def unprocessed(queue: DataFrame, history: DataFrame, key: str) -> DataFrame:

@@ -189,8 +189,8 @@ def redact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("redact_message", f"SELECT event_id AS msg_id, 'PID|1||[REDACTED]||[REDACTED]' AS pid_segment, 'OBX|1|NM|' || event_type || '||' || {VALUE} AS obx_segment FROM events")
 def redact_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split(redact.redact_message(F.col("raw_message")), "\r")
-    return raw_messages(spark, sf_dir).select("msg_id", F.get(lines, F.lit(1)).alias("pid_segment"), F.get(lines, F.lit(2)).alias("obx_segment"))
+    lines = raw_messages(spark, sf_dir).select("msg_id", F.split(redact.redact_message(F.col("raw_message")), "\r").alias("lines"))
+    return lines.select("msg_id", F.get("lines", F.lit(1)).alias("pid_segment"), F.get("lines", F.lit(2)).alias("obx_segment"))
 
 
 @register("redact_exploded", f"SELECT event_id AS msg_id, 'PID' AS segment, CAST(3 AS INTEGER) AS field, '[REDACTED]' AS value FROM events UNION ALL SELECT event_id, 'PID', 5, '[REDACTED]' FROM events UNION ALL SELECT event_id, 'PID', 1, '1' FROM events UNION ALL SELECT event_id, 'PID', 2, '' FROM events UNION ALL SELECT event_id, 'PID', 4, '' FROM events")
@@ -231,7 +231,10 @@ def engine(spark: SparkSession, sf_dir: str, split: bool = False, **how) -> Engi
     raw = raw_messages(spark, sf_dir)
     for name in KINDS if split else ("events",):
         out.sql(f"CREATE QUEUE {name}")
-        out.insert_frame(name, raw.where(F.col("kind") == name) if split else raw, ["msg_id"])
+    if split:
+        out.store.insert_dealt(raw, "kind", ["msg_id"])
+    else:
+        out.insert_frame("events", raw, ["msg_id"])
     return out
 
 

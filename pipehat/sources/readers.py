@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import configparser
 import struct
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipehat.functions import codec, hl7
-from pipehat.storage import size_of, write_text
+from pipehat.runtime import remove
+from pipehat.storage import exists, files_below, read_text, replace_text, size_of
 
 MAX_REQUEST = 1 << 20
 OK, PARSE_ERROR, EXECUTION_ERROR, INTERNAL_ERROR = 0, 1, 2, 3
@@ -33,13 +35,31 @@ def read_files(spark: SparkSession, path: str, **how) -> DataFrame:
 
 def read_persisted(spark: SparkSession, path: str, key: Column | None = None, parse: bool = True, **how) -> DataFrame:
     """Messages of persisted queue files: PLN, ENC and prefix-less lines; lines that can't be read are left out."""
-    rows = codec.from_lines(spark.read.option("lineSep", "\n").text(path), key)
+    rows = codec.from_lines(spark.read.option("lineSep", "\n").text(persisted_now(spark, path)), key)
     return hl7.parse(rows, **how) if parse else rows
 
 
+def persisted_now(spark: SparkSession, path: str) -> str:
+    """Where the lines of a persisted file lie: there, or in the generation that its pointer names."""
+    pointer = f"{path}/CURRENT"
+    return f"{path}/{read_text(spark, pointer)}" if exists(spark, pointer) else path
+
+
 def write_persisted(df: DataFrame, path: str, key: Column | None = None, mode: str = "append") -> None:
-    """msg_id, timestamp and raw_message as lines, with a key encrypted. mode overwrite replaces a file's folder whole."""
-    codec.to_lines(df, key).write.mode(mode).option("lineSep", "\n").text(path)
+    """msg_id, timestamp and raw_message as lines, with a key encrypted. mode overwrite puts them in the place of all that was
+    there in one step: readers see the old lines or the new ones, and a failure leaves the old."""
+    spark, lines = df.sparkSession, codec.to_lines(df, key)
+    now = persisted_now(spark, path)
+    if mode != "overwrite":
+        lines.write.mode(mode).option("lineSep", "\n").text(now)
+        return
+    generation = f"generation-{uuid.uuid4().hex}"
+    lines.write.option("lineSep", "\n").text(f"{path}/{generation}")
+    replace_text(spark, f"{path}/CURRENT", generation)
+    if now != path:
+        remove(spark, now)
+    else:  # lines from before there were generations
+        remove(spark, *(f"{path}/{f}" for f, _ in files_below(spark, path) if f != "CURRENT" and not f.startswith("generation-")))
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -49,8 +69,16 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_registry(spark: SparkSession, path: str, names: Iterable[str]) -> None:
-    """A registry of these names, sorted, each once, in place of what was there."""
-    write_text(spark, path, "".join(f"{n}\n" for n in sorted(set(names))), overwrite=True)
+    """A registry of these names, sorted, each once, in place of what was there, in one step."""
+    replace_text(spark, path, "".join(f"{n}\n" for n in sorted(set(names))))
+
+
+def change_registry(spark: SparkSession, path: str, add: Iterable[str] = (), drop: Iterable[str] = ()) -> list[str]:
+    """Add names to a registry and take others out; what it holds then."""
+    old = [r.name for r in read_registry(spark, path).collect()] if exists(spark, path) else []
+    names = sorted({*old, *add} - {*drop})
+    write_registry(spark, path, names)
+    return names
 
 
 def export_persisted(store, root: str, key: Column | None = None) -> list[str]:
@@ -69,7 +97,8 @@ def persisted_path(root: str, queue: str, history: bool = False) -> str:
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
     """One row: messages (lines) and bytes."""
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("messages")).withColumn("bytes", F.lit(size_of(spark, path)).cast("bigint"))
+    now = persisted_now(spark, path)
+    return spark.read.option("lineSep", "\n").text(now).agg(F.count(F.lit(1)).alias("messages")).withColumn("bytes", F.lit(size_of(spark, now)).cast("bigint"))
 
 
 def import_persisted(store, root: str, key: Column | None = None) -> dict[str, int]:
@@ -83,6 +112,15 @@ def import_persisted(store, root: str, key: Column | None = None) -> dict[str, i
     return out
 
 
+def index_list(text: str) -> dict[str, tuple[str, int]]:
+    """The fields that a setting like `PID-3,MSH-9` wants as columns of their own, by the columns' names."""
+    out = {}
+    for item in filter(None, (x.strip() for x in text.split(","))):
+        p = hl7.FieldPath.parse(item)
+        out[hl7.index_name(p.segment, p.field) or f"{p.segment.lower()}_{p.field}"] = (p.segment, p.field)
+    return out
+
+
 class Config:
     """Settings of an INI file, with typed getters and defaults; a value that doesn't fit reads as the default."""
 
@@ -143,10 +181,21 @@ def response_frame(status: int, text: str) -> bytes:
     return struct.pack(">II", status, len(body)) + body
 
 
-def answer(engine, request: str) -> bytes:
-    """The framed answer of an engine to a request."""
+def read_responses(data: bytes) -> Iterable[tuple[int, str]]:
+    """(status, text) of the whole responses at the front of data."""
+    at = 0
+    while at + 8 <= len(data):
+        status, n = struct.unpack_from(">II", data, at)
+        if at + 8 + n > len(data):
+            return
+        yield status, data[at + 8 : at + 8 + n].decode("utf-8", "replace")
+        at += 8 + n
+
+
+def answer(engine, request: str, max_rows: int = 10_000) -> bytes:
+    """The framed answer of an engine to a request; of larger results the first max_rows rows, and a line that says so."""
     try:
         out = engine.run(request)
-        return response_frame(out.code if out.code in (PARSE_ERROR, EXECUTION_ERROR) else OK if out.code == 0 else EXECUTION_ERROR, out.text())
+        return response_frame(out.code if out.code in (PARSE_ERROR, EXECUTION_ERROR) else OK if out.code == 0 else EXECUTION_ERROR, out.text(max_rows))
     except Exception as e:  # what a client must hear of, whatever it is
         return response_frame(INTERNAL_ERROR, f"ERROR {INTERNAL_ERROR}: {type(e).__name__}")

@@ -86,7 +86,7 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     draft = f"{path}.{uuid.uuid4().hex}.tmp"
     write_text(spark, draft, text)
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path(spark, path)[0].getUri(), spark._jsc.hadoopConfiguration())
-    options = spark._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(hadoop_path(spark, draft)[1], hadoop_path(spark, path)[1], options)
 

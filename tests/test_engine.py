@@ -3,7 +3,7 @@ import random
 import pytest
 
 from pipehat.operators.engine import Engine, query
-from pipehat.operators.queues import QueueProblem, QueueState, by_time, fifo_position, stored
+from pipehat.operators.queues import QueueProblem, QueueState, by_time, stored
 from pipehat.plans.bind import BindProblem, Semantics
 
 from .samples import ADT_JONES, admission
@@ -187,7 +187,7 @@ def test_several_batches_and_queues(spark, root):
     before = sorted(map(str, e.store.active("q").collect()))
     e.store.compact("q")
     assert sorted(map(str, e.store.active("q").collect())) == before and len(e.store.state()[1]["queues"]["q"].batches) == 1
-    assert [r.position for r in fifo_position(e.store.active("q")).orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6]
+    assert [r.position for r in e.store.positions("q").orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6]
     assert e.store.get("q", 2).first().msh9 == "MSG001"
     e.store.pop("q", 2)
     e.store.clear("q")

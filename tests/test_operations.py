@@ -15,6 +15,7 @@ from pipehat.operators.engine import Engine
 from pipehat.functions.redact import OFF
 from pipehat.operators.security import EVERYTHING, ROLES, Accounts, Denied, Permission, SecureEngine
 from pipehat.sources import readers
+from pipehat.sources.web import Web, json_text
 from pipehat.storage import Conflict, Manifest, write_text
 from pipehat.streaming import ingest
 
@@ -72,8 +73,10 @@ def test_tampering_shows(log):
     assert audit.broken(rows.limit(0)).count() == 0
 
 
-def test_chain_against_a_plain_version(spark):
+@pytest.mark.parametrize("local", [0, 2, 20_000])
+def test_chain_against_a_plain_version(spark, local, monkeypatch):
     """Dense ids and ids with gaps, several levels of blocks; grown row by row and made at once."""
+    monkeypatch.setattr(chain, "LOCAL", local or 1)
     rnd = random.Random(4)
     for ids in ([], [7], list(range(1, 300)), sorted(rnd.sample(range(20_000), 400)), [1, 2, 5, 6, 64, 4096, 300_000]):
         rows = [(n, hashlib.sha256(str(n).encode()).hexdigest()) for n in ids]
@@ -264,6 +267,11 @@ def test_readers(spark, tmp_path):
     assert readers.file_stats(spark, f"{tmp_path}/lines").first().messages == 3
     readers.write_persisted(frame.limit(0), f"{tmp_path}/lines", mode="overwrite")
     assert readers.file_stats(spark, f"{tmp_path}/lines").first().messages == 0
+    readers.write_persisted(frame, f"{tmp_path}/lines")
+    readers.write_persisted(readers.read_persisted(spark, f"{tmp_path}/lines", parse=False).where("msg_id = 2"), f"{tmp_path}/lines", mode="overwrite")
+    assert [r.msg_id for r in readers.read_persisted(spark, f"{tmp_path}/lines").collect()] == [2] and len([p for p in (tmp_path / "lines").iterdir() if p.is_dir()]) == 1
+    assert readers.change_registry(spark, f"{tmp_path}/names", add=["b", "a"]) == ["a", "b"] and readers.change_registry(spark, f"{tmp_path}/names", ["c"], ["a", "x"]) == ["b", "c"]
+    assert readers.index_list("PID-3, MSH-9,OBX-5") == {"pid3": ("PID", 3), "msh9": ("MSH", 9), "obx_5": ("OBX", 5)}
 
 
 def test_import_of_a_persisted_folder(spark, tmp_path):
@@ -296,6 +304,27 @@ def test_frames(spark, tmp_path):
     assert readers.answer(e, "CREATE QUEUE q") == readers.response_frame(0, "OK (0 rows)") and readers.answer(e, "x")[:4] == b"\0\0\0\1" and readers.answer(e, "DROP QUEUE r")[:4] == b"\0\0\0\2"
 
 
+def test_web(spark, tmp_path):
+    web = Web(Engine(spark, f"file://{tmp_path}/w", clock=lambda: NOW))
+    web.engine.sql("CREATE QUEUE q")
+    assert web.handle("GET", "/api/health") == (200, '{"status":"healthy","version":"1.0.0","features":["persistence","indexing"]}')
+    message = json.dumps(ADT_JONES)
+    assert web.handle("POST", "/api/insert", f'{{"queue":"q","message":{message}}}') == (200, '{"success":true,"message":"Message inserted successfully"}')
+    for body, error in (("", "Missing request body"), ('{"queue":"q"}', "Missing message parameter"), ('{"message":"x"}', "Missing queue parameter"), ('{"queue":"r","message":%s}' % message, "Queue not found"), ('{"queue":"q","message":"x"}', "Invalid HL7 message")):
+        assert web.handle("POST", "/api/insert", body) == (400, f'{{"error":"{error}"}}')
+    assert web.handle("GET", "/api/queues")[1] == '{"queues":[{"name":"q","messages":1,"history":0}]}'
+    assert web.handle("GET", "/api/statistics")[1] == '{"total_queues":1,"total_messages":1,"total_history":0,"grand_total":1}'
+    asked = "SELECT+segment.PID%5B3%5D%20AS%20pid,%20segment.ZZZ%5B1%5D%20AS%20z%20FROM%20q"
+    want = (200, '{"success":true,"rows_affected":0,"num_rows":1,"rows":[{"pid":"123456789","z":null}]}')
+    assert web.handle("GET", f"/api/query?query={asked}") == web.handle("POST", "/api/query", f"query={asked}") == want
+    assert web.handle("GET", "/api/query")[0] == 400 and json.loads(web.handle("GET", "/api/query?query=x")[1])["success"] is False and web.handle("GET", "/x")[0] == 404
+    for sample in json.loads(web.handle("GET", "/api/samples")[1])["samples"]:
+        assert web.handle("POST", "/api/insert", json.dumps({"queue": "q", "message": sample["message"]}))[0] == 200
+    texts = ["plain", 'a"b\\c\r\n\t', "é\x01", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(json_text(F.col("t")).alias("j")).collect()
+    assert [json.loads(r.j) for r in got] == texts
+
+
 # -- streaming ----------------------------------------------------------------------------------------------------------
 def lines(spark, path, start, texts):
     rows = spark.createDataFrame([(start + i, NOW, t) for i, t in enumerate(texts)], "msg_id long, timestamp long, raw_message string")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,50 @@ def test_messages(spark):
     assert one(spark, None, redact.redact_message) is None and one(spark, "", redact.redact_message) == ""
 
 
+def plain_redacted(text, how):
+    out = []
+    for line in text.split("\r"):
+        fields = line.split("|")
+        own = fields[0][:3] if len(fields[0]) >= 3 else ""
+        for j, f in enumerate(fields):
+            if j and f and how.covers(f"{own}-{j}"):
+                fields[j] = "[REDACTED]" if how.mode == FULL or len(f) <= 2 else f[0] + "***" if len(f) <= 4 else f"{f[0]}***{f[-1]}***"
+        out.append("|".join(fields))
+    return "\r".join(out)
+
+
+def test_messages_against_a_plain_version(spark):
+    rnd = random.Random(2)
+    heads = ["MSH", "PID", "PIDX", "NK1", "IN1", "PV1", "MRN", "SSNX", "PI", "", "OBX", "ZMRN"]
+    texts = ["\r".join("|".join([rnd.choice(heads), *rnd.choices(["", "a", "abc", "abcde", "x^y~z"], k=rnd.choice((0, 3, 15, 48)))]) for _ in range(rnd.randint(1, 6))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for how in (DEFAULT, DEBUG, Redaction(names=False, ids=False), Redaction(PARTIAL, phone=False)):
+        got = [r.x for r in df.select(redact.redact_message(F.col("v"), how).alias("x")).collect()]
+        assert got == [plain_redacted(t, how) for t in texts]
+
+
+def plain_unescaped(text):
+    out, i, known = [], 0, {"r": "\r", "n": "\n", "|": "|", "\\": "\\"}
+    while i < len(text):
+        if text[i] == "\\" and i + 1 < len(text) and text[i + 1] in known:
+            out.append(known[text[i + 1]])
+            i += 2
+        elif text[i] == "\\":
+            out.append(text[i : i + 2])
+            i += 2
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def test_unescaping_against_a_plain_version(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("\\\\\\rn|ab\x01\n", k=rnd.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert [r.x for r in df.select(codec.unescape(F.col("v")).alias("x")).collect()] == list(map(plain_unescaped, texts))
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(ADT_JONES, "123456789", "x")], "raw_message string, pid string, other string")
     row = redact.redact_frame(df, DEFAULT, {"pid": "PID-3", "other": "MSH-9"}).first()
