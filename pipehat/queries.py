@@ -11,7 +11,7 @@ from pipehat.functions import codec, hl7, redact
 from pipehat.operators import audit, monitor, queues
 from pipehat.operators.engine import Engine, query
 from pipehat.plans.bind import Semantics
-from pipehat.runtime import scratch, table
+from pipehat.runtime import scratch, table, written
 from pipehat.sources import readers
 
 #: 2024-01-31T00:00:00Z, the time that queries count back from.
@@ -22,6 +22,9 @@ ORACLES: dict[str, str] = {}
 
 EPOCH = "CAST(floor(epoch(ts)) AS BIGINT)"
 PID, KIND, VALUE = "CAST(user_id AS VARCHAR)", "event_type", "CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)"
+#: The text of raw_messages().
+RAW = f"""('MSH|^~\\&|APP|FAC|R|RF|' || strftime(ts, '%Y%m%d%H%M%S') || '||ORU^' || event_type || '|' || event_id || '|P|2.5' || chr(13) || 'PID|1||' || user_id || '^^^FAC&ISO^MR~ALT' || event_id || '||DOE^' || event_type
+  || chr(13) || 'OBX|1|NM|' || event_type || '||' || {VALUE} || chr(13) || 'OBX|2|ST|SRC||s' || (user_id % 10))"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +70,7 @@ statement("project_literals", "SELECT 'x' AS word, 42 AS num, LAST_N_HOURS(1) AS
 
 @register(
     "select_wildcard",
-    f"""SELECT event_id AS msg_id, CAST(event_id AS VARCHAR) AS msg_type, {EPOCH} AS timestamp, md5('MSH|^~\\&|APP|FAC|R|RF|' || strftime(ts, '%Y%m%d%H%M%S') || '||ORU^' || event_type || '|' || event_id || '|P|2.5' || chr(13) || 'PID|1||'
-  || user_id || '^^^FAC&ISO^MR~ALT' || event_id || '||DOE^' || event_type || chr(13) || 'OBX|1|NM|' || event_type || '||' || {VALUE} || chr(13) || 'OBX|2|ST|SRC||s' || (user_id % 10)) AS raw_hash FROM events""",
+    f"SELECT event_id AS msg_id, CAST(event_id AS VARCHAR) AS msg_type, {EPOCH} AS timestamp, md5({RAW}) AS raw_hash FROM events",
 )
 def select_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = query(messages(spark, sf_dir), "SELECT * FROM q", Semantics(now=NOW))
@@ -90,7 +92,7 @@ for _name, _text, _sql in (
     ("filter_between_reversed", "timestamp BETWEEN 1704900000 AND 1704300000", "false"),
     ("filter_and_or_flat", "segment.OBX[3] = 'click' OR segment.OBX[3] = 'view' AND segment.PID[3] = '7'", "(event_type = 'click' OR event_type = 'view') AND user_id = 7"),
     ("filter_paren", "(segment.PID[3] = '7' OR segment.PID[3] = '8') AND segment.OBX[3] = 'click'", "(user_id = 7 OR user_id = 8) AND event_type = 'click'"),
-    ("filter_fields", "segment.OBX[3] < segment.PID[3]", f"event_type < {PID}"),
+    ("filter_fields", "segment.PID[3] < segment.MSH[9]", f"{PID} < CAST(event_id AS VARCHAR)"),
     ("filter_missing", "segment.ZZZ[1] = 'x' OR segment.PID[3] = '9'", "user_id = 9"),
     ("last_n_hours", "timestamp > LAST_N_HOURS(12)", f"{EPOCH} > {NOW - 12 * 3600}"),
     ("last_n_days", "timestamp > LAST_N_DAYS(25) AND segment.OBX[3] = 'error'", f"{EPOCH} > {NOW - 25 * 86400} AND event_type = 'error'"),
@@ -243,10 +245,12 @@ def union_all_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, split=True).sql("SELECT segment.PID[3] AS pid, segment.OBX[3] AS kind FROM *")
 
 
-@register("fifo_position", "SELECT event_id AS event, row_number() OVER (ORDER BY event_id) AS position, row_number() OVER (ORDER BY event_id) AS msg_id FROM events")
+@register("fifo_position", "SELECT event_id AS event, row_number() OVER (ORDER BY event_id) AS position, row_number() OVER (ORDER BY event_id) + 5 AS msg_id FROM (SELECT event_id FROM events ORDER BY event_id OFFSET 5)")
 def fifo_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = engine(spark, sf_dir).store.active("events")
-    return active.select(F.col("msh9").cast("bigint").alias("event"), (F.col("seq") + 1).alias("position"), "msg_id")
+    """After five messages have gone."""
+    store = engine(spark, sf_dir).store
+    store.pop("events", 5)
+    return store.positions("events").select(F.col("msh9").cast("bigint").alias("event"), "position", "msg_id")
 
 
 @register("pop_k", "SELECT CAST(event_id AS VARCHAR) AS control FROM events ORDER BY event_id LIMIT 7")
@@ -354,26 +358,71 @@ def audit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAIN_FIELDS = ["event_id", "event_type", "user_id"]
 
 
-@register(
-    "audit_chain",
-    "WITH h AS (SELECT event_id, sha256('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS own FROM events) SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS previous_event_id, sha256(coalesce(lag(own) OVER (ORDER BY event_id), '') || '|' || own) AS checksum FROM h",
-)
+GAPS = "event_id % 7 NOT IN (3, 4)"
+
+
+def chain_sql(rows: str) -> str:
+    """SQL whose c0 holds (id, before, sum) of the hash chain over rows (id, h), for ids below 64 ** 3."""
+    out = f"WITH RECURSIVE s0 AS ({rows})"
+    for k in (1, 2):
+        out += f", s{k} AS (SELECT id // 64 AS id, sha256(string_agg(h, '' ORDER BY id)) AS h FROM s{k - 1} GROUP BY id // 64)"
+    out += ", c3 AS (SELECT 0 AS id, '' AS before)"
+    for k in (2, 1, 0):
+        out += f""", n{k} AS (SELECT id, h, id // 64 AS block, row_number() OVER (PARTITION BY id // 64 ORDER BY id) AS n FROM s{k}),
+c{k} AS (SELECT a.id, a.block, a.n, u.before, sha256(u.before || '|' || a.h) AS sum FROM n{k} a JOIN c{k + 1} u ON u.id = a.block WHERE a.n = 1
+  UNION ALL SELECT b.id, b.block, b.n, c.sum, sha256(c.sum || '|' || b.h) FROM c{k} c JOIN n{k} b ON b.block = c.block AND b.n = c.n + 1)"""
+    return out
+
+
+OWN = "sha256('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}')"
+
+
+def chain_rows(where: str) -> str:
+    return chain_sql(f"SELECT event_id AS id, {OWN} AS h FROM events WHERE {where}") + " SELECT id AS event_id, lag(id) OVER (ORDER BY id) AS previous_event_id, sum AS checksum FROM c0"
+
+
+@register("audit_chain", chain_rows("true"))
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.chained(audit_rows(spark, sf_dir), CHAIN_FIELDS).select("event_id", "previous_event_id", "checksum")
 
 
-@register("audit_chain_verify", "SELECT event_id, 'changed' AS problem FROM events WHERE event_id % 1000 = 500 UNION ALL SELECT event_id + 1, 'link' FROM events WHERE event_id % 1000 = 500 AND event_id < (SELECT max(event_id) FROM events)")
+@register("audit_chain_gaps", chain_rows(GAPS))
+def audit_chain_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of seven ids are missing."""
+    return audit.chained(audit_rows(spark, sf_dir).where(GAPS), CHAIN_FIELDS).select("event_id", "previous_event_id", "checksum")
+
+
+def kept_log(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """A chained log, as it is kept."""
+    return written(audit.chained(audit_rows(spark, sf_dir).where(where), CHAIN_FIELDS), "audit")
+
+
+@register("audit_chain_verify", "SELECT event_id, 'changed' AS problem FROM events WHERE event_id % 1000 = 500")
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every thousandth row is tampered with after chaining."""
-    log = audit.chained(audit_rows(spark, sf_dir), CHAIN_FIELDS)
+    log = kept_log(spark, sf_dir)
     return audit.broken(log.withColumn("user_id", F.when(F.col("event_id") % 1000 == 500, F.col("user_id") + 1).otherwise(F.col("user_id"))), CHAIN_FIELDS)
 
 
+@register("audit_chain_gaps_verify", f"SELECT event_id, 'changed' AS problem FROM events WHERE event_id = 505 AND {GAPS} UNION ALL SELECT event_id, 'untouched' FROM events WHERE false")
+def audit_chain_gaps_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with gaps: untouched it reports nothing, and one changed row shows."""
+    log = kept_log(spark, sf_dir, GAPS)
+    one = log.withColumn("event_type", F.when(F.col("event_id") == 505, "x").otherwise(F.col("event_type")))
+    return audit.broken(one, CHAIN_FIELDS).unionAll(audit.broken(log, CHAIN_FIELDS).select("event_id", F.lit("untouched").alias("problem")))
+
+
+@register("audit_chain_forged", f"SELECT event_id, 'link' AS problem FROM events WHERE event_id >= 505 AND {GAPS}")
+def audit_chain_forged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row's fields and hash are changed together: all later checksums betray it."""
+    log = kept_log(spark, sf_dir, GAPS).withColumn("event_type", F.when(F.col("event_id") == 505, "x").otherwise(F.col("event_type")))
+    return audit.broken(log.withColumn("payload_hash", audit.payload_hash(CHAIN_FIELDS)), CHAIN_FIELDS)
+
+
 @register("anomaly_hours", f"SELECT event_id, {EPOCH} AS timestamp FROM events WHERE event_type IN ('view', 'purchase') AND (hour(ts) < 8 OR hour(ts) >= 18)")
 def anomaly_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = audit_rows(spark, sf_dir)
-    hour = F.hour((F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("timestamp").cast("decimal(18,6)"))))
-    return odd.where(F.col("phi_accessed") & ((hour < monitor.OFFICE_HOURS[0]) | (hour >= monitor.OFFICE_HOURS[1]))).select("event_id", "timestamp")
+    rows = audit_rows(spark, sf_dir).withColumn("user_id", F.col("event_id"))  # the event's id stands for the user's, to tell the rows apart
+    return monitor.after_hours(rows).select(F.col("user_id").alias("event_id"), "timestamp")
 
 
 @register("anomaly_volume", f"WITH d AS (SELECT user_id, CAST(floor({EPOCH} / 86400) AS BIGINT) AS day, sum(event_id % 7 + 1) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL) SELECT user_id, CAST((day + 1) * 86400 AS BIGINT) AS timestamp, CAST(n AS BIGINT) AS records FROM (SELECT *, avg(n) OVER (PARTITION BY user_id) AS usual FROM d) WHERE n > usual * 2")

@@ -3,7 +3,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from pipehat import queries
+from pipehat import queries, service_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
