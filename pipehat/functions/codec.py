@@ -62,12 +62,14 @@ def to_lines(df: DataFrame, key: Column | None = None) -> DataFrame:
 def from_lines(lines: DataFrame, key: Column | None = None) -> DataFrame:
     """(msg_id, timestamp, raw_message) of the lines (value) that can be read: PLN, ENC and lines without a prefix."""
     v = F.col("value")
-    prefixed = v.startswith("PLN|") | v.startswith("ENC|")
-    rows = lines.select(v.startswith("ENC|").alias("coded"), F.when(prefixed, F.substring(v, F.lit(5), F.length(v))).otherwise(v).alias("rest"))
-    rows = rows.where(F.col("rest").rlike(r"^[0-9]+\|-?[0-9]+\|")).select("coded", F.split("rest", r"\|", 3).alias("parts"))
+    coded = v.startswith("ENC|")
+    rest = F.when(v.startswith("PLN|") | coded, F.substring(v, F.lit(5), F.length(v))).otherwise(v)
+    rows = lines.select(coded.alias("coded"), F.split(rest, r"\|", 3).alias("parts"))
     part = lambda i: F.get("parts", F.lit(i))
-    rows = rows.select("coded", part(0).try_cast("long").alias("msg_id"), part(1).try_cast("long").alias("timestamp"), part(2).alias("body"))
-    plain = F.when(~F.col("coded"), unescape(F.col("body")))
-    text = plain if key is None else F.when(F.col("coded"), decrypt(F.col("body"), key, F.col("msg_id"))).otherwise(plain)
-    out = rows.select("msg_id", "timestamp", text.alias("raw_message"))
-    return out.where("msg_id IS NOT NULL AND timestamp IS NOT NULL AND raw_message IS NOT NULL")
+    msg_id = F.when(part(0).rlike("^[0-9]+$"), part(0).try_cast("long"))
+    timestamp = F.when(part(1).rlike("^-?[0-9]+$"), part(1).try_cast("long"))
+    plain = F.when(~F.col("coded"), unescape(part(2)))
+    text = plain if key is None else F.when(F.col("coded"), decrypt(part(2), key, msg_id)).otherwise(plain)
+    # one row or none: a condition on the made columns would be carried down to the lines, and all of this done twice
+    made = F.array(F.struct(msg_id.alias("msg_id"), timestamp.alias("timestamp"), text.alias("raw_message")))
+    return rows.select(F.inline(F.filter(made, lambda r: r["msg_id"].isNotNull() & r["timestamp"].isNotNull() & r["raw_message"].isNotNull())))

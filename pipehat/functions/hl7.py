@@ -10,7 +10,7 @@ Numbering of MSH: "as_coded" counts the text after the first separator as field
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,6 +75,11 @@ def part(x: Column, sep: Column, i: int) -> Column:
     return F.substring(F.nullif(F.split_part(marked, sep, F.lit(i + 1)), F.lit("")), 2, 2**31 - 1)
 
 
+def once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x worked out once however often then names it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def has(x: Column, sep: Column) -> Column:
     return F.call_function("instr", x, sep) > 0
 
@@ -101,15 +106,17 @@ def segments_of(raw: Column, normalize_newlines: bool = False) -> Column:
     """SEGMENTS of a message; idx counts the earlier segments of the same id. Segments shorter than an id are errors."""
     sep = F.substring(raw, 4, 1)
     good = F.filter(lines_of(raw, normalize_newlines), lambda s: F.length(s) >= 3)
-    ids = F.transform(good, lambda s: F.substring(s, 1, 3))
 
-    def one(s: Column, i: Column) -> Column:
+    def one(s: Column, i: Column, ids: Column) -> Column:
         own = F.substring(s, 1, 3)
         fields = F.when(sep == "|", F.split(s, r"\|", -1)).otherwise(parts(s, sep))
         earlier = F.size(F.filter(F.slice(ids, F.lit(1), i), lambda x: x == own))
-        return F.struct(own.alias("id"), earlier.alias("idx"), F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0))).alias("fields"))
+        # without the first, which is the id; a split has one part at least
+        return F.struct(own.alias("id"), earlier.alias("idx"), F.slice(fields, F.lit(2), F.lit(1 << 30)).alias("fields"))
 
-    return F.when(is_message(raw), F.transform(good, one)).otherwise(F.array().cast(SEGMENTS))
+    ids_of = lambda lines: F.transform(lines, lambda s: F.substring(s, 1, 3))
+    segments = once(good, lambda lines: once(ids_of(lines), lambda ids: F.transform(lines, lambda s, i: one(s, i, ids))))
+    return F.when(is_message(raw), segments).otherwise(F.array().cast(SEGMENTS))
 
 
 # -- reading ------------------------------------------------------------------------------------------------------------
@@ -130,8 +137,7 @@ def raw_field(fields: Column, n: int, segment: str = "", numbering: str = "as_co
 
 def field_value(raw: Column, enc: Column) -> Column:
     """The first component of the first repetition, NULL if that has subcomponents."""
-    c = part(part(raw, enc["repetition"], 0), enc["component"], 0)
-    return F.when(~has(c, enc["subcomponent"]), c)
+    return once(part(part(raw, enc["repetition"], 0), enc["component"], 0), lambda c: F.when(~has(c, enc["subcomponent"]), c))
 
 
 def component_value(raw: Column, enc: Column, i: int) -> Column:
@@ -141,17 +147,17 @@ def component_value(raw: Column, enc: Column, i: int) -> Column:
 
 def subcomponent_value(raw: Column, enc: Column, i: int, j: int) -> Column:
     """Subcomponent j of component i (from 0); a component without subcomponents has none."""
-    c = part(raw, enc["component"], i)
-    return F.when(has(c, enc["subcomponent"]), part(c, enc["subcomponent"], j))
+    return once(part(raw, enc["component"], i), lambda c: F.when(has(c, enc["subcomponent"]), part(c, enc["subcomponent"], j)))
 
 
 def segment_text(raw: Column, segment: str, n: int = 0) -> Column:
     """The text of occurrence n of a segment, straight from the message; NULL if there's none."""
-    pattern = rf"(?:^|\r)({re.escape(segment)}[^\r]*)"
     if len(segment) != 3 or segment[0] in SPACES:
         return F.lit(None).cast("string")
-    found = F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")) if n == 0 else F.get(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), F.lit(n))
-    return F.when(is_message(raw), found)
+    if segment == "MSH" and n == 0:  # the text of a message begins with it
+        return F.when(is_message(raw), F.substring_index(raw, "\r", 1))
+    rest = part(F.concat(F.lit("\r"), raw), F.lit(f"\r{segment}"), n + 1)
+    return F.when(is_message(raw), F.concat(F.lit(segment), F.substring_index(rest, "\r", 1)))
 
 
 def _read(there: Column, field: Column, enc: Column, p: FieldPath, numbering: str) -> Column:

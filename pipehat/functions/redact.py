@@ -107,20 +107,6 @@ def redact_message(raw: Column, how: Redaction | None = None, drop_unterminated_
     for f in how.covered():
         segment, n = f.split("-")
         numbers.setdefault(segment, []).append(int(n))
-    if how.mode != FULL:
-        return _by_lines(text, numbers, how.mode)
-    # a mark that is always the same needs no fields: one replacement for each protected one, inside code generation
-    out = text
-    for segment, ns in numbers.items():
-        for n in ns:
-            out = F.regexp_replace(out, rf"((?:^|\r){segment}[^|\r]*(?:\|[^|\r]*){{{n - 1}}}\|)[^|\r]+", rf"$1{MARK}")
-    named = F.regexp_like(text, F.lit(rf"(?:^|\r)(?:{'|'.join(PHI_WORDS)})"))
-    return F.when(named, _by_lines(text, numbers, how.mode)).otherwise(out)
-
-
-def _by_lines(text: Column, numbers: dict[str, list[int]], mode: str) -> Column:
-    """The message with the protected fields, by number in each segment, redacted one by one; all of a segment that one of
-    PHI_WORDS names."""
 
     def line(s: Column) -> Column:
         fields, own = F.split(s, r"\|", -1), F.substring(s, 1, 3)
@@ -129,10 +115,10 @@ def _by_lines(text: Column, numbers: dict[str, list[int]], mode: str) -> Column:
             protected = own.isin(*PHI_WORDS)
             for segment, ns in numbers.items():
                 protected = protected | (own == segment) & j.isin(*ns)
-            return F.when((j > 0) & (f != "") & protected, redact_value(f, mode)).otherwise(f)
+            return F.when((j > 0) & (f != "") & protected, redact_value(f, how.mode)).otherwise(f)
 
-        # a shorter head than an id has none
-        return F.when(own.isin(*PHI_WORDS, *numbers) & ~F.substring(s, 1, 3).contains("|"), F.array_join(F.transform(fields, field), "|")).otherwise(s)
+        # only segments with protected fields are cut into fields
+        return F.when(own.isin(*PHI_WORDS, *numbers), F.array_join(F.transform(fields, field), "|")).otherwise(s)
 
     return F.array_join(F.transform(F.split(text, "\r", -1), line), "\r")
 

@@ -203,7 +203,23 @@ class QueueStore:
         if "\r" not in raw and "\\r" in raw:
             raw = raw.replace("\\r", "\r")
         t = int(self.clock()) if timestamp is None else timestamp
-        return self.insert_frame(queue, self.spark.createDataFrame([(raw, t)], "raw_message string, timestamp bigint"), [])[0]
+        self._queue(self.state()[1], queue)
+        row, batch = self.spark.createDataFrame([(raw, t, 0)], "raw_message string, timestamp bigint, offset bigint"), uuid.uuid4().hex
+        hl7.parse(row, numbering=self.numbering, shred=self.indexed).coalesce(1).write.parquet(f"{self.root}/data/{batch}/q={queue}")
+
+        def edit(doc):
+            state = self._queue(doc, queue)
+            n = doc["next_id"]
+            state.batches.append(f"{batch}/q={queue}-{state.tail}-{n}-1")
+            state.tail += 1
+            doc["next_id"] += 1
+            return n
+
+        try:
+            return self.change(edit)
+        except QueueProblem:  # dropped meanwhile
+            remove(self.spark, f"{self.root}/data/{batch}")
+            raise
 
     def insert_frame(self, queue: str, df: DataFrame, order_by: Sequence[Column | str], also: Callable[[dict], object] | None = None) -> tuple[int, int]:
         """All rows of df (raw_message and, if it has it, timestamp), in the given order; (first id, number). `also` edits the

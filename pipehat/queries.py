@@ -39,7 +39,9 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = hl7.build_segment("PID", "1", "", F.concat(F.col("user_id").cast("string"), F.lit("^^^FAC&ISO^MR~ALT"), F.col("event_id").cast("string")), "", F.concat(F.lit("DOE^"), "event_type"))
     obx1 = hl7.build_segment("OBX", "1", "NM", F.col("event_type"), "", F.col("shown"))
     obx2 = hl7.build_segment("OBX", "2", "ST", "SRC", "", F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")))
-    return e.select(F.col("event_id").alias("msg_id"), F.col("epoch").alias("timestamp"), hl7.build_message(msh, pid, obx1, obx2).alias("raw_message"), F.col("event_type").alias("kind"))
+    row = F.struct(F.col("event_id").alias("msg_id"), F.col("epoch").alias("timestamp"), hl7.build_message(msh, pid, obx1, obx2).alias("raw_message"), F.col("event_type").alias("kind"))
+    # texts are made here once, as if they were stored: else conditions on them would carry the making down to the scan
+    return e.select(F.inline(F.array(row)))
 
 
 def messages(spark: SparkSession, sf_dir: str, numbering: str = "as_coded") -> DataFrame:
