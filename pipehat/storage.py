@@ -20,13 +20,13 @@ class Manifest:
 
     A version is written beside its place and renamed there, which fails if it exists; so readers see whole versions and of two
     writers one starts again. A pointer beside the versions tells a recent one, from which readers go on to the newest, so that
-    reading doesn't list the folder. The last KEPT versions can be read; older ones go, some at a time.
+    reading doesn't list the folder. The last `kept` versions can be read; older ones go, some at a time (None: none go).
     """
 
     KEPT, STEP = 1024, 64
 
-    def __init__(self, spark: SparkSession, folder: str, name: str = "manifest"):
-        self.spark, self.folder, self.name = spark, folder.rstrip("/"), name
+    def __init__(self, spark: SparkSession, folder: str, name: str = "manifest", kept: int | None = KEPT):
+        self.spark, self.folder, self.name, self.kept = spark, folder.rstrip("/"), name, kept
         self.fs, path = hadoop_path(spark, self.folder)
         self.fs.mkdirs(path)
 
@@ -58,6 +58,10 @@ class Manifest:
         version = self.newest() if version is None else version
         return (version, json.loads(read_text(self.spark, self._file(version)))) if version else (0, {})
 
+    def drop(self, version: int) -> None:
+        """Forget an old version."""
+        self.fs.delete(self._path(version), False)
+
     def commit(self, base: int, document: dict) -> int:
         """Make the version after base."""
         version, draft = base + 1, f"{self.folder}/.{uuid.uuid4().hex}.tmp"
@@ -66,8 +70,8 @@ class Manifest:
             self.fs.delete(hadoop_path(self.spark, draft)[1], False)
             raise Conflict(f"version {version} exists")
         write_text(self.spark, f"{self.folder}/{self.name}.latest", str(version), overwrite=True)
-        if version % self.STEP == 0:
-            for old in range(max(1, version - self.KEPT - self.STEP), version - self.KEPT):
+        if self.kept is not None and version % self.STEP == 0:
+            for old in range(max(1, version - self.kept - self.STEP), version - self.kept):
                 self.fs.delete(self._path(old), False)
         return version
 

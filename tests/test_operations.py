@@ -241,9 +241,8 @@ def test_backup_schedule(spark, tmp_path):
 
 
 def test_manifest_pointer_and_old_versions(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(Manifest, "KEPT", 4)
     monkeypatch.setattr(Manifest, "STEP", 2)
-    m = Manifest(spark, f"file://{tmp_path}/m")
+    m = Manifest(spark, f"file://{tmp_path}/m", kept=4)
     for n in range(12):
         assert m.commit(n, {"n": n + 1}) == n + 1
     assert m.read() == (12, {"n": 12}) and m.versions() == list(range(8, 13))
