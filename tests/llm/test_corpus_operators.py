@@ -1,4 +1,5 @@
 import itertools
+import json
 import random
 import time
 from collections import Counter
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pipehat.llm import decontaminate, fingerprint, hot, near_dup
 from pipehat.llm.components import components
-from pipehat.llm.shards import Conflict, ShardStore
+from pipehat.llm.shards import ShardStore
+from pipehat.storage import Conflict
 
 SF = "/root/testdata/sf0.001"
 VOCAB = [f"w{i}" for i in range(400)]
@@ -315,9 +317,9 @@ def test_shards(spark, tmp_path):
     for k in range(3):
         store.append(df.where((F.coalesce(F.col("shard"), F.lit(0))) == k))
     assert store.append(df.limit(0)) == 4
-    before = store.manifest()["shards"]
+    before = store.shards(store.manifest()["lists"])
     last = store.compact()
-    after = store.manifest()["shards"]
+    after = store.shards(store.manifest()["lists"])
     assert last == store.versions()[-1] and len(after) < len(before) and sum(s["rows"] for s in after) == len(rows)
     as_rows = lambda d: Counter(map(str, d.select("doc_id", "text", "shard").collect()))
     assert as_rows(store.read()) == as_rows(df) and as_rows(store.read(4)) == as_rows(df)  # old versions stay
@@ -326,9 +328,30 @@ def test_shards(spark, tmp_path):
     assert store.vacuum() == len({s["path"] for s in before} - {s["path"] for s in after}) and store.versions() == [last] and as_rows(store.read()) == as_rows(df)
 
 
+def test_shard_lists_stay_small(spark, tmp_path):
+    """Appends write lists of their own shards only; merges are bounded and touch the lists of their tier; nothing is lost."""
+    df = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(120)], "doc_id bigint, text string").coalesce(1)
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=10_000_000, merge_bytes=12_000, list_shards=3)
+    sizes = []
+    for k in range(40):
+        store.append(df.where(F.col("doc_id") % 40 == k))
+        sizes.append(len(json.dumps(store.manifest()["lists"][-1])))
+    assert max(sizes) - min(sizes) < 5 and all(sum(x["tiers"].values()) == 1 for x in store.manifest()["lists"])
+    runs = store.runs(store.shards(store.manifest()["lists"]))
+    assert len(runs) > 1 and all(sum(s["bytes"] for s in r) <= 12_000 for r in runs)
+    store.compact()
+    lists = store.manifest()["lists"]
+    assert len(lists) < 20 and all(sum(x["tiers"].values()) <= 3 for x in lists) and all(x["tiers"] == {str(t): n for t, n in Counter(s["tier"] for s in store.shards([x])).items()} for x in lists)
+    store.vacuum()
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(120))
+    assert len(list((tmp_path / "s/lists").glob("*.json"))) == len(lists)
+
+
 def test_tiers():
     store = ShardStore.__new__(ShardStore)
-    store.target_bytes, store.tier_width, store.least_run = 1000, 4.0, 2
+    store.target_bytes, store.tier_width, store.least_run, store.merge_bytes = 1000, 4.0, 2, 100
     assert [store.tier(s) for s in (2000, 500, 499, 125, 124, 10)] == [0, 0, 1, 1, 2, 3]
-    shards = [{"path": str(i), "tier": t} for i, t in enumerate((0, 0, 1, 2, 2, 3))]
+    shards = [{"path": str(i), "tier": t, "bytes": 30} for i, t in enumerate((0, 0, 1, 2, 2, 3))]
     assert [[s["path"] for s in r] for r in store.runs(shards)] == [["3", "4"]]
+    many = [{"path": str(i), "tier": 2, "bytes": 30} for i in range(8)]  # two runs of 90 bytes, and one of 60
+    assert [len(r) for r in store.runs(many)] == [3, 3, 2]
