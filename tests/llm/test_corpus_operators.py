@@ -287,6 +287,62 @@ def test_fingerprints_of_a_ring(spark, kind):
         assert g.fingerprint == own.text() and g.near_next == own.likeness(fingerprint.Print(following)) and g.near_edited == own.likeness(fingerprint.Print(new))
 
 
+def plain_features(text):
+    """Hashes of improbable windows, one after the other: entropies by counting, runs by looking at all their windows."""
+    import math
+
+    data = text.encode().ljust(16, b"\0") if text else b""
+    keys, mask = [], 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    for i in range(len(data) - 15):
+        w = data[i : i + 16]
+        entropy = -sum(n / 16 * math.log2(n / 16) for n in Counter(w).values())
+        rank = 4095 if entropy < 1 else 4094 - int(abs(round(entropy, 4) - 3.15) / 0.25 * 256 + 1e-3)
+        h = 16
+        for k in (0, 8):
+            h = mixed((h * 0x94D049BB133111EB + int.from_bytes(w[k : k + 8], "little") + 1) & mask)
+        keys.append((rank, h >> 12))
+    run = max(1, min(64, len(keys) // 16))
+    wins = [min(keys[i : i + run]) for i in range(len(keys) - run + 1)]
+    return dict.fromkeys(k for k, g in itertools.groupby(wins) if len(list(g)) >= run / 4)
+
+
+def plain_likeness(a, b):
+    """Over chained filters as sets of bits."""
+    chains = []
+    for text in (a, b):
+        hashes = fingerprint.selected(text).tolist()
+        parts = [hashes[i : i + 160] for i in range(0, len(hashes), 160)]
+        chains.append([(len(p), {h >> (11 * k) & 2047 for h in p for k in range(5)}) for p in parts])
+    one, two = sorted(chains, key=lambda c: (len(c), sum(n for n, _ in c)))
+    if not one:
+        return float(not two)
+    score = 0.0
+    for n, x in one:
+        best = 0.0
+        for _, y in two:
+            chance = len(x) * len(y) / 2048
+            best = max(best, (len(x & y) - chance) / max(min(len(x), len(y)) - chance, 1e-9))
+        score += n * min(1.0, best)
+    return score / sum(n for n, _ in one)
+
+
+def test_likeness_against_a_plain_version():
+    rnd = random.Random(21)
+    for n in (1, 3, 12, 60, 300, 2500):
+        a, b = text_of(rnd, n), text_of(rnd, n)
+        for x, y in ((a, b), (a, fingerprint.edited(a, b)), (a, edited(rnd, a, max(1, n // 20))), (a, ""), (a, a + b)):
+            assert fingerprint.Print(x).likeness(fingerprint.Print(y)) == pytest.approx(plain_likeness(x, y), abs=1e-5)
+        # ranks at the edge of a step may differ by one, which changes few features
+        got, want = len(fingerprint.selected(a)), len(plain_features(a))
+        assert abs(got - want) <= max(1, want // 20)
+
+
 def test_fingerprint_edges(spark):
     schema = "doc_id bigint, text string"
     assert fingerprint.fingerprints(spark.createDataFrame([], schema)).count() == 0
