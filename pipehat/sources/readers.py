@@ -6,6 +6,8 @@ import configparser
 import struct
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pipehat.runtime import remove
 from pipehat.storage import exists, files_below, read_text, replace_text, size_of
 
 MAX_REQUEST = 1 << 20
+#: Queues that one pass of an import takes.
+QUEUES_AT_ONCE = 100
 OK, PARSE_ERROR, EXECUTION_ERROR, INTERNAL_ERROR = 0, 1, 2, 3
 
 
@@ -84,9 +88,13 @@ def change_registry(spark: SparkSession, path: str, add: Iterable[str] = (), dro
 def export_persisted(store, root: str, key: Column | None = None) -> list[str]:
     """Write a QueueStore's queues and histories as persisted lines below a folder, with a registry; the names."""
     names = store.names()
-    for name in names:
+
+    def export(name: str) -> None:
         write_persisted(store.active(name), persisted_path(root, name), key, "overwrite")
         write_persisted(store.history(name), persisted_path(root, name, True), key, "overwrite")
+
+    with ThreadPoolExecutor(8) as pool:  # small queues side by side
+        list(pool.map(export, names))
     write_registry(store.spark, f"{root.rstrip('/')}/channels/channels.dat", names)
     return names
 
@@ -103,12 +111,16 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def import_persisted(store, root: str, key: Column | None = None) -> dict[str, int]:
     """Bring a folder of persisted queues, named by its registry, into a QueueStore; messages per queue."""
-    spark, out = store.spark, {}
-    for row in read_registry(spark, f"{root.rstrip('/')}/channels/channels.dat").collect():
-        if not store.has(row.name):
-            store.create(row.name)
-        rows = read_persisted(spark, persisted_path(root, row.name), key, parse=False)
-        out[row.name] = store.insert_frame(row.name, rows, ["msg_id"])[1]
+    spark = store.spark
+    names = sorted(r.name for r in read_registry(spark, f"{root.rstrip('/')}/channels/channels.dat").collect())
+    for name in names:
+        if not store.has(name):
+            store.create(name)
+    out = dict.fromkeys(names, 0)
+    for at in range(0, len(names), QUEUES_AT_ONCE):
+        parts = [read_persisted(spark, persisted_path(root, n), key, parse=False).withColumn("queue", F.lit(n)) for n in names[at : at + QUEUES_AT_ONCE]]
+        got = store.insert_dealt(reduce(DataFrame.unionAll, parts), "queue", ["msg_id"])
+        out |= {q: n for q, (_, n) in got.items()}
     return out
 
 
