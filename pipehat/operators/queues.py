@@ -121,11 +121,12 @@ class QueueStore:
         self.spark, self.root, self.numbering, self.clock, self.lossy_reject = spark, root.rstrip("/"), numbering, clock, lossy_reject
         self.manifest = Manifest(spark, f"{self.root}/manifest")
         version, state = self.manifest.read()
+        fields = hl7.SHREDDED[numbering] if indexed is None or version else indexed
+        usual = {k: list(v) for k, v in fields.items() if k != "msh7"}
         if version == 0:
-            fields = hl7.SHREDDED[numbering] if indexed is None else indexed
-            state = {"queues": {}, "next_id": 1, "history_limit": history_limit, "rotate": rotate, "indexed": {k: list(v) for k, v in fields.items() if k != "msh7"}}
+            state = {"queues": {}, "next_id": 1, "history_limit": history_limit, "rotate": rotate, "indexed": usual}
             self.manifest.commit(0, state)
-        self.indexed = {k: tuple(v) for k, v in state["indexed"].items()}
+        self.indexed = {k: tuple(v) for k, v in state.get("indexed", usual).items()}  # older stores have the usual ones
         self.schema = T.StructType([*LOG_SCHEMA.fields[:-1], *(T.StructField(k, T.StringType()) for k in self.indexed), LOG_SCHEMA.fields[-1]])
 
     # -- state --------------------------------------------------------------------------------------------------------
