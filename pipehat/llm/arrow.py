@@ -48,14 +48,14 @@ def strings(column: pa.Array) -> list[str | None]:
         return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Parts of the batches of at most SLICE_CHARS characters or one row, with the strings of column number `text`."""
+def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of the batches of at most so many characters or one row, with the strings of column number `text`."""
     for batch in batches:
         values = strings(batch.column(text))
         start = size = 0
         for i, x in enumerate(values):
             n = len(x or "")
-            if i > start and size + n > SLICE_CHARS:
+            if i > start and size + n > chars:
                 yield batch.slice(start, i - start), values[start:i]
                 start, size = i, 0
             size += n

@@ -29,6 +29,8 @@ from pipehat.runtime import remove, written
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 MAX_DOCS_PER_LANG, MAX_GRAM, CACHE_WORDS = 2500, 5, 100_000
+#: Characters whose n-grams a worker counts at a time, which bounds its memory; Spark adds them up.
+COUNT_CHARS = 250_000
 #: Hash values that the choice of texts distinguishes, and labels up to which their shares are broadcast.
 HASHES, BROADCAST_LABELS = 1 << 40, 100_000
 #: What stands for a word's start and end in its n-grams.
@@ -96,18 +98,15 @@ class Model:
             if sum(by_lang.values()) >= 2:
                 kept[size][text] = by_lang
         self.words, *self.grams = [Table(x, langs) for x in kept]
-        # all n-grams' logs in one matrix, and where each size begins in it
-        self.logs = np.concatenate([t.logs for t in self.grams])
-        self.first = np.cumsum([0, *(len(t.rows) for t in self.grams)]).tolist()
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, np.ndarray] = {}
 
-    def unseen(self, word: str) -> list[int]:
-        """Rows of the logs whose mean stands for a word: its known n-grams of the longest size that has any."""
+    def unseen(self, word: str) -> np.ndarray:
         for n in range(MAX_GRAM, 0, -1):
-            rows, first = self.grams[n - 1].rows, self.first[n - 1]
-            if known := [first + i for g in grams(word, n) if (i := rows.get(g)) is not None]:
-                return known
-        return []
+            table = self.grams[n - 1]
+            known = [i for g in grams(word, n) if (i := table.rows.get(g)) is not None]
+            if known:
+                return table.logs[known].mean(axis=0)
+        return np.zeros(len(self.langs))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [words_of(t) for t in texts]
@@ -120,19 +119,14 @@ class Model:
         number = {w: i for i, w in enumerate(set(chain.from_iterable(words)))}
         cache = self.cache
         known = np.array([self.words.rows.get(w, -1) for w in number])
-        table = np.zeros((len(number), len(self.langs)))
+        table = np.empty((len(number), len(self.langs)))
         table[known >= 0] = self.words.logs[known[known >= 0]]
-        rows = []
-        for w in (w for w, k in zip(number, known.tolist(), strict=True) if k < 0):
-            x = cache.get(w)
-            if x is None:
-                x = cache[w] = self.unseen(w)
-            rows.append(x)
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        if size.any():
-            some = size > 0
-            total = np.add.reduceat(self.logs[np.fromiter(chain.from_iterable(rows), np.int64)], (np.cumsum(size) - size)[some], axis=0)
-            table[np.flatnonzero(known < 0)[some]] = total / size[some, None]
+        for w, i in number.items():
+            if known[i] < 0:
+                x = cache.get(w)
+                if x is None:
+                    x = cache[w] = self.unseen(w)
+                table[i] = x
         lengths = np.array([len(x) for x in words])
         some = np.flatnonzero(lengths)
         flat = table[np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)]
@@ -162,7 +156,7 @@ def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
     chosen = sample(df, usable, text_col, lang_col, max_docs)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, 1):
+        for batch, texts in slices(batches, 1, COUNT_CHARS):
             c: Counter[tuple[str, str]] = Counter()
             for lang, t in zip(strings(batch.column(0)), texts, strict=True):
                 for w, k in Counter(words_of(t)).items():
