@@ -55,9 +55,12 @@ def counts(messages: DataFrame, window: str = "1 hour", slide: str | None = None
 
 
 def sessions(messages: DataFrame, key: str = "pid3", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Runs of a patient's messages with no gap longer than that."""
+    """Runs of a patient's messages, each less than gap after the one before; a message just gap later begins another run. A run
+    ends gap after its last message."""
     at = messages.withColumn("at", F.timestamp_seconds("msh7_ts")).withWatermark("at", late)
-    return at.groupBy(F.session_window("at", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("messages")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "messages")
+    # Spark joins windows that touch: these are an instant shorter, so that only those that overlap are joined
+    runs = at.groupBy(F.session_window("at", f"{gap} -1 microseconds").alias("w"), key).agg(F.count(F.lit(1)).alias("messages"))
+    return runs.select(F.col("w.start").alias("start"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"), key, "messages")
 
 
 def recent(messages: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:

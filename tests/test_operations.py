@@ -4,6 +4,7 @@ import random
 import threading
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,3 +359,19 @@ def test_routing_and_windows(spark, tmp_path):
         q.awaitTermination()
     assert sorted((r.msg_type_code, r.messages) for r in spark.table("counted").where("start IS NOT NULL").collect()) == [("ADT", 1), ("ORU", 2)]
     assert sorted((r.pid3, r.messages) for r in spark.table("sessioned").where("start IS NOT NULL").collect()) == [("123456789", 1), ("987654321", 2)]
+
+
+def test_a_message_just_a_gap_later_begins_another_session(spark, tmp_path):
+    from pipehat import service_queries
+    from pipehat.queries import ORACLES
+
+    times = [(1, 0), (1, 86399), (1, 86399 + 86400), (2, 0), (2, 0), (2, 86400), (2, 2 * 86400 + 1), (3, 5)]
+    rows = [(i, u, t, "view", 1.0, "{}") for i, (u, t) in enumerate(times)]
+    frame = spark.createDataFrame(rows, "event_id bigint, user_id bigint, at bigint, event_type string, value double, props string")
+    frame.withColumn("ts", F.timestamp_seconds(F.col("at") + NOW).cast("timestamp_ntz")).drop("at").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in service_queries.session_windows(spark, str(tmp_path)).collect())
+    assert got == [("1", NOW, NOW + 86399 + 86400, 2), ("1", NOW + 86399 + 86400, NOW + 86399 + 2 * 86400, 1), ("2", NOW, NOW + 86400, 2), ("2", NOW + 86400, NOW + 2 * 86400, 1), ("2", NOW + 2 * 86400 + 1, NOW + 3 * 86400 + 1, 1), ("3", NOW + 5, NOW + 86405, 1)]
+    with duckdb.connect() as duck:
+        duck.sql("SET timezone = 'UTC'")
+        duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(duck.sql(ORACLES["session_windows"]).fetchall())
