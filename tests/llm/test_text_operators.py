@@ -557,3 +557,20 @@ def test_training_takes_copies_once(spark):
     docs = spark.createDataFrame([(None, "the house of the people and the river " * 20)] * 500 + [(1, None), (2, "")], "doc_id bigint, text string")
     one = secrets.train(docs.limit(1))
     assert (secrets.train(docs).ratio == one.ratio).all() or secrets.train(docs).threshold >= secrets.LEAST
+
+
+def test_training_reads_every_text_once(spark, monkeypatch):
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmno"[i % 9 :], k=rnd.randint(2, 9))) for _ in range(12)) + (" password=Abc1234567 and more words" if i % 5 == 0 else "") for i in range(1500)]
+    df = spark.createDataFrame([(t,) for i, t in enumerate(texts) for _ in range(700 if i == 7 else 1 + i % 3)] + [(None,), ("",)], "text string")
+    halves = {r.text: r.half for r in df.where("text <> ''").select("text", F.expr("pmod(shiftright(xxhash64(text), 40), 2)").alias("half")).distinct().collect()}
+    made = {t: secrets.ordinary(t) for t in halves}
+    assert sorted(halves) == sorted(set(texts)) and not any("password" in x.lower() for own in made.values() for x in own) and any("more" in x.lower() for own in made.values() for x in own)
+    counts = [sum(secrets.transitions(made[t]) for t in texts if halves[t] == h) for h in (0, 1)]
+    plain, others = secrets.Model(counts[0] + counts[1]), [secrets.Model(counts[1]), secrets.Model(counts[0])]
+    scores = sorted((math.ceil(others[halves[t]].score(x)) for t in texts for x in made[t]), reverse=True)
+    expected = max(secrets.LEAST, scores[int(secrets.FALSE_ALARMS * len(scores))])
+    for most in (secrets.BROADCAST_COPIES, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_COPIES", most)
+        model = secrets.train(df)
+        assert (model.ratio == plain.ratio).all() and model.threshold == expected
