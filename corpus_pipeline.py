@@ -17,7 +17,7 @@ from pipehat.runtime import remove, table, written
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop null texts, texts without a letter and texts whose language stays in doubt (score under one half)."""
-    return language.accepted(docs, language.train(docs, F.lit(True)))
+    return language.accepted(docs, language.train(docs, F.lit(True), max_docs=None))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

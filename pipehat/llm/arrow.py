@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -18,7 +19,22 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.exec
 def map_batches(df: DataFrame, columns: Sequence[Column | str], work: Callable, schema: str) -> DataFrame:
     """mapInArrow over just these columns; other columns, whatever their names, are not read."""
     prepare(df.sparkSession)
-    return df.select(*columns).mapInArrow(work, schema)
+    return df.select(*columns).mapInArrow(tidy(work), schema)
+
+
+def tidy(work: Callable) -> Callable:
+    """work that gives free memory back to the system when a task ends: workers live on, and else keep what they once took."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return over
 
 
 def prepare(spark: SparkSession) -> None:
@@ -82,4 +98,4 @@ def rewrite(df: DataFrame, text_col: str, work: Callable[[list[str | None]], tup
     prepare(df.sparkSession)
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*names)
-    return plain.mapInArrow(over, plain.schema).toDF(*df.columns)
+    return plain.mapInArrow(tidy(over), plain.schema).toDF(*df.columns)

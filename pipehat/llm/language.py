@@ -4,9 +4,9 @@ A word known from training scores by its log frequency in each language. An unse
 longest length at which any of them is known, from MAX_GRAM down to 1. A text's score for a language is the sum over its
 words; the prediction's score is its posterior under equal priors.
 
-Training reads about MAX_DOCS_PER_LANG different texts of each label at most, chosen by their hash (the bound is on the expected
-number), copies once; so neither null or repeated ids nor copies lift the bound. Their words and n-grams are counted where they
-lie, all of them, and those seen twice at least, in whatever languages, reach the driver. Labels are taken to be languages:
+Training reads all different texts of each label, or about max_docs of them at most, chosen by their hash (the bound is on the
+expected number), copies once; so neither null or repeated ids nor copies lift the bound. Their words are counted where they lie,
+all of them, then the n-grams of all words; those seen twice at least, in whatever languages, reach the driver, as 64-bit keys. Labels are taken to be languages:
 tables have a column for each. Defined results: null texts and texts without a letter are `und` with score 0; rows with a null
 label train nothing; with nothing to train on every text is `und`; ties between languages go to the first by name.
 """
@@ -16,10 +16,12 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ from pipehat.runtime import remove, written
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 MAX_DOCS_PER_LANG, MAX_GRAM, CACHE_WORDS = 2500, 5, 100_000
-#: Characters whose n-grams a worker counts at a time, which bounds its memory; Spark adds them up.
-COUNT_CHARS = 250_000
+#: Characters whose words a worker counts at a time, and counts that it keeps, which bounds its memory; Spark adds them up.
+COUNT_CHARS, KEPT_COUNTS = 250_000, 50_000
 #: Hash values that the choice of texts distinguishes, and labels up to which their shares are broadcast.
 HASHES, BROADCAST_LABELS = 1 << 40, 100_000
 #: What stands for a word's start and end in its n-grams.
@@ -57,19 +59,56 @@ def with_grams(counts: dict[tuple[str, str], int]) -> dict[tuple[int, str, str],
     return out
 
 
-class Table:
-    """Log frequencies of texts in each language, less their mean over the languages."""
+def keys_of(texts: Iterable[str]) -> np.ndarray:
+    """64 bits that stand for each text."""
+    return np.frombuffer(b"".join([blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts]), "<i8")
+
+
+class Rows:
+    """The row numbers of texts by their sorted keys: no text is kept, which makes a table a tenth of a dict."""
+
+    def __init__(self, sorted_keys: np.ndarray):
+        self.sorted = sorted_keys
+
+    def __len__(self) -> int:
+        return len(self.sorted)
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.sorted.tolist())
+
+    def keys(self) -> set[int]:
+        return set(self)
 
-    def __init__(self, counts: dict[str, dict[str, int]], langs: list[str]):
-        at = {lang: i for i, lang in enumerate(langs)}
-        self.rows = {t: i for i, t in enumerate(counts)}
-        c = np.zeros((len(counts), len(langs)))
-        for i, by_lang in enumerate(counts.values()):
-            for lang, n in by_lang.items():
-                c[i, at[lang]] = n
-        c += 0.5
-        self.logs = np.log(c / c.sum(axis=0))
-        self.logs -= self.logs.mean(axis=1, keepdims=True) if langs else 0
+    def __getitem__(self, key: int | str) -> int:
+        at = int(self.find(keys_of([key]) if isinstance(key, str) else np.array([key]))[0])
+        if at < 0:
+            raise KeyError(key)
+        return at
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        if not len(self.sorted):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == keys, at, -1)
+
+
+class Table:
+    """Log frequencies of texts in each language, less their mean over the languages; of those seen twice at least."""
+
+    def __init__(self, keys: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int):
+        """Counts n of keys in languages by their numbers, each pair once."""
+        own, row = np.unique(keys, return_inverse=True)
+        seen = np.bincount(row, n, len(own)) >= 2
+        self.rows = Rows(own[seen])
+        at = (np.cumsum(seen) - 1)[row]
+        keep = seen[row]
+        c = np.full((len(self.rows), langs), 0.5)
+        c[at[keep], lang[keep]] += n[keep]
+        c /= c.sum(axis=0)
+        self.logs = np.log(c, out=c)
+        if langs:
+            self.logs -= self.logs.mean(axis=1, keepdims=True)
 
 
 class Model:
@@ -79,34 +118,36 @@ class Model:
         total: dict[tuple[str, str], int] = Counter()
         for lang, word, n in counts:
             total[lang, word] += n
-        by: dict[tuple[int, str], dict[str, int]] = defaultdict(dict)
-        for (size, text, lang), n in with_grams(total).items():
-            by[size, text][lang] = n
-        self._build(sorted({lang for lang, _ in total}), ((size, text, c) for (size, text), c in by.items()))
+        by, langs = with_grams(total), sorted({lang for lang, _ in total})
+        size, lang = (np.array([f(k) for k in by], np.int64) for f in (lambda k: k[0], lambda k: langs.index(k[2])))
+        self._build(langs, size, keys_of(k[1] for k in by), lang, np.array(list(by.values()), np.int64))
 
     @classmethod
-    def of(cls, langs: list[str], counted: Iterable[tuple[int, str, dict[str, int]]]) -> Model:
-        """The model of counts by size and text, each once, with its count in each language that has it."""
+    def of(cls, langs: list[str], size: np.ndarray, keys: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Model:
+        """The model of counts n by size, key of the text and number of the language, each once."""
         out = cls.__new__(cls)
-        out._build(sorted(langs), counted)
+        out._build(langs, size, keys, lang, n)
         return out
 
-    def _build(self, langs: list[str], counted: Iterable[tuple[int, str, dict[str, int]]]) -> None:
+    def _build(self, langs: list[str], size: np.ndarray, keys: np.ndarray, lang: np.ndarray, n: np.ndarray) -> None:
         self.langs = langs
-        kept: list[dict[str, dict[str, int]]] = [{} for _ in range(MAX_GRAM + 1)]
-        for size, text, by_lang in counted:
-            if sum(by_lang.values()) >= 2:
-                kept[size][text] = by_lang
-        self.words, *self.grams = [Table(x, langs) for x in kept]
+        self.words, *self.grams = [Table(keys[size == k], lang[size == k], n[size == k], len(langs)) for k in range(MAX_GRAM + 1)]
         self.cache: dict[str, np.ndarray] = {}
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The scores of words that aren't known: of each the mean of its longest n-grams of which any is."""
+        out, left = np.zeros((len(words), len(self.langs))), np.arange(len(words))
         for n in range(MAX_GRAM, 0, -1):
-            table = self.grams[n - 1]
-            known = [i for g in grams(word, n) if (i := table.rows.get(g)) is not None]
-            if known:
-                return table.logs[known].mean(axis=0)
-        return np.zeros(len(self.langs))
+            table, own = self.grams[n - 1], [grams(words[i], n) for i in left]
+            of, at = np.repeat(left, [len(x) for x in own]), table.rows.find(keys_of(chain.from_iterable(own)))
+            of, at = of[at >= 0], at[at >= 0]
+            hits = np.bincount(of, minlength=len(words))
+            for k in range(len(self.langs)):
+                out[:, k] += np.bincount(of, table.logs[at, k], len(words)) / np.maximum(hits, 1)
+            left = left[hits[left] == 0]
+            if not len(left):
+                break
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [words_of(t) for t in texts]
@@ -118,15 +159,15 @@ class Model:
             self.cache.clear()
         number = {w: i for i, w in enumerate(set(chain.from_iterable(words)))}
         cache = self.cache
-        known = np.array([self.words.rows.get(w, -1) for w in number])
+        known = self.words.rows.find(keys_of(number))
         table = np.empty((len(number), len(self.langs)))
         table[known >= 0] = self.words.logs[known[known >= 0]]
-        for w, i in number.items():
-            if known[i] < 0:
-                x = cache.get(w)
-                if x is None:
-                    x = cache[w] = self.unseen(w)
-                table[i] = x
+        rest = [(w, i) for w, i in number.items() if known[i] < 0]
+        new = [w for w, _ in rest if w not in cache]
+        for k in range(0, len(new), 10_000):
+            cache.update(zip(new[k : k + 10_000], self.unseen(new[k : k + 10_000]), strict=True))
+        for w, i in rest:
+            table[i] = cache[w]
         lengths = np.array([len(x) for x in words])
         some = np.flatnonzero(lengths)
         flat = table[np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)]
@@ -140,43 +181,68 @@ class Model:
         return langs, scores
 
 
-def sample(df: DataFrame, usable: Column, text_col: str, lang_col: str, max_docs: int) -> DataFrame:
-    """(lang, text) of about max_docs different texts of each label at most."""
+def sample(df: DataFrame, usable: Column, text_col: str, lang_col: str, max_docs: int | None) -> DataFrame:
+    """(lang, text) of the different texts of each label, of about max_docs of them at most if there is a bound."""
     lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
     rows = df.where(usable & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    counted = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).where(F.col("n") > max_docs).collect()
+    counted = [] if max_docs is None else rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).where(F.col("n") > max_docs).collect()
     if counted:  # labels with fewer texts need no choice
         shares = df.sparkSession.createDataFrame([(r.lang, max_docs * HASHES // r.n) for r in counted], "lang string, share long")
         rows = rows.join(F.broadcast(shares) if len(counted) <= BROADCAST_LABELS else shares, "lang", "left").where(F.col("share").isNull() | (F.pmod("h", F.lit(HASHES)) < F.col("share")))
     return rows.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
-def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS_PER_LANG) -> Model:
-    """A model of the usable rows with a label and a text."""
+def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", max_docs: int | None = MAX_DOCS_PER_LANG) -> Model:
+    """A model of the usable rows with a label and a text; of all of them if max_docs is None."""
     chosen = sample(df, usable, text_col, lang_col, max_docs)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, Counter[str]] = defaultdict(Counter)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, c in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c, pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
+            by.clear()
+
         for batch, texts in slices(batches, 1, COUNT_CHARS):
-            c: Counter[tuple[str, str]] = Counter()
             for lang, t in zip(strings(batch.column(0)), texts, strict=True):
-                for w, k in Counter(words_of(t)).items():
-                    c[lang, w] += k
-            counts = with_grams(c)
-            keys = list(counts)
-            columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["size", "word", "lang", "n"])
-
-    counted = map_batches(chosen, ["lang", "text"], count_words, "size int, word string, lang string, n long")
-    by_lang = written(counted.groupBy("size", "word", "lang").agg(F.sum("n").alias("n")), "counts")
+                by[lang].update(words_of(t))
+            if sum(map(len, by.values())) > KEPT_COUNTS:
+                yield from told()
+        yield from told()
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str, str], int] = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            columns = [pa.array([k[0] for k in sums], pa.int32()), pa.array(keys_of(k[1] for k in sums)), pa.array([k[2] for k in sums], pa.string()), pa.array(sums.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["size", "key", "lang", "n"])
+            sums.clear()
+
+        for batch in batches:
+            counts = dict(zip(zip(strings(batch.column(0)), strings(batch.column(1)), strict=True), batch.column(2).to_pylist(), strict=True))
+            for k, n in with_grams(counts).items():
+                sums[k] += n
+            if len(sums) > KEPT_COUNTS:
+                yield from told()
+        yield from told()
+
+    spark = df.sparkSession
+    words = written(map_batches(chosen, ["lang", "text"], count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    by_lang = written(map_batches(words, ["lang", "word", "n"], count_grams, "size int, key long, lang string, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n")), "counts")
     try:
-        langs = [r.lang for r in by_lang.where("size = 0").select("lang").distinct().collect()]
+        langs = sorted(r.lang for r in words.select("lang").distinct().collect())
         pairs = F.collect_list(F.struct("lang", "n")).alias("pairs")
         # what was seen once is in no table
-        seen = by_lang.groupBy("size", "word").agg(F.sum("n").alias("n"), pairs).where("n >= 2").select("size", "word", "pairs.lang", "pairs.n").toArrow()
+        seen = by_lang.groupBy("size", "key").agg(F.sum("n").alias("n"), pairs).where("n >= 2").select("size", "key", "pairs.lang", "pairs.n").toArrow().combine_chunks()
     finally:
-        remove(df.sparkSession, by_lang.path)
-    rows = (zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in seen.to_batches(max_chunksize=10_000))
-    return Model.of(langs, ((size, word, dict(zip(ls, ns, strict=True))) for size, word, ls, ns in chain.from_iterable(rows)))
+        remove(spark, words.path, by_lang.path)
+    if not seen.num_rows:
+        return Model.of(langs, *(np.empty(0, np.int64) for _ in range(4)))
+    size, key, lang, n = (pa.concat_arrays(c.chunks) for c in seen.columns)
+    each = pc.list_value_length(lang).to_numpy()
+    lang = pc.index_in(lang.flatten(), value_set=pa.array(langs, pa.string())).to_numpy()
+    return Model.of(langs, np.repeat(size.to_numpy(), each), np.repeat(key.to_numpy(), each), lang, n.flatten().to_numpy())
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from pipehat.llm import queries, secrets
+from pipehat.llm import language, queries, secrets
 from pipehat.llm.queries import ORACLES, QUERIES
 
 from .test_corpus_operators import jaccard, shingles, tiles_by_force
@@ -100,3 +100,20 @@ def test_stages_keep_columns_and_take_edges(spark):
             if i == 3:
                 assert {r.doc_id: r.n_chars for r in now.collect()} == ({1: len(long), 6: len("[SECRET] the word of the people")} if last else {})
         assert sorted(r.doc_id for r in now.collect()) == last
+
+
+def test_language_model_of_the_pipeline_reads_every_labelled_text(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    # every word stands in two texts of 6,000, some of which have copies
+    rows = [(i, f"{name(i // 2)} {'one' if i % 2 else 'two'}", "aa") for i in range(6000)] * 2 + [(i, f"ω{'αβγ'[i % 3]} θάλασσα", "zz") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models, accepted = [], language.accepted
+    monkeypatch.setattr(language, "accepted", lambda df, model: models.append(model) or accepted(df, model))
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    counts = Counter((lang, w) for text, lang in {r[1:] for r in rows} for w in language.words_of(text))
+    plain = language.Model([(*k, n) for k, n in counts.items()])
+    for a, b in zip([models[0].words, *models[0].grams], [plain.words, *plain.grams], strict=True):
+        assert a.rows.keys() == b.rows.keys() and (a.logs == b.logs).all()
+    assert len(models[0].words.rows) == 3003 and kept.count() == len(rows)
+    assert models[0].predict(["a", "ω", "x y"])[0][:2] == ["aa", "zz"]
