@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -29,14 +30,27 @@ def tidy(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
 
     return over
 
 
+def give_back() -> None:
+    """Give free memory of this process back to the system, which numpy's and Arrow's allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver give up what no step uses any more: free memory of its Python, garbage of its JVM, and with that the shuffles
+    and broadcasts of finished steps on all machines, which Spark keeps until the driver's heap happens to fill."""
+    gc.collect()
+    give_back()
+    spark._jvm.System.gc()
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship the code and bound the batches."""
     ship(spark)

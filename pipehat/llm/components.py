@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipehat.llm.arrow import settle
 from pipehat.llm.hot import dealt_join, hot_values
 from pipehat.runtime import remove, written
 
@@ -49,6 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not _are_stars(now):
         then = _stars(now)
         remove(edges.sparkSession, now.path)
+        settle(edges.sparkSession)
         now = then
     out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select("b", "b").distinct().toDF("node", "root"))
     out.path = now.path

@@ -6,8 +6,8 @@ words; the prediction's score is its posterior under equal priors.
 
 Training reads all different texts of each label, or about max_docs of them at most, chosen by their hash (the bound is on the
 expected number), copies once; so neither null or repeated ids nor copies lift the bound. Their words are counted where they lie,
-all of them, then the n-grams of all words; those seen twice at least, in whatever languages, reach the driver, as 64-bit keys. Labels are taken to be languages:
-tables have a column for each. Defined results: null texts and texts without a letter are `und` with score 0; rows with a null
+all of them, then the n-grams of all words; those seen twice at least, in whatever languages, reach the driver, as 64-bit keys and
+numbers of languages, one length after the other. Labels are taken to be languages: tables have a column for each. Defined results: null texts and texts without a letter are `und` with score 0; rows with a null
 label train nothing; with nothing to train on every text is `und`; ties between languages go to the first by name.
 """
 
@@ -15,17 +15,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipehat.llm.arrow import claim, map_batches, rewrite, slices, strings
+from pipehat.llm.arrow import claim, map_batches, rewrite, settle, slices, strings
 from pipehat.runtime import remove, written
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -48,7 +47,7 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
-def with_grams(counts: dict[tuple[str, str], int]) -> dict[tuple[int, str, str], int]:
+def with_grams(counts: dict[tuple[Hashable, str], int]) -> dict[tuple[int, str, Hashable], int]:
     """(size, text, language): counts of words (size 0) and of their n-grams (size n)."""
     out: dict[tuple[int, str, str], int] = Counter()
     for (lang, word), k in counts.items():
@@ -120,18 +119,19 @@ class Model:
             total[lang, word] += n
         by, langs = with_grams(total), sorted({lang for lang, _ in total})
         size, lang = (np.array([f(k) for k in by], np.int64) for f in (lambda k: k[0], lambda k: langs.index(k[2])))
-        self._build(langs, size, keys_of(k[1] for k in by), lang, np.array(list(by.values()), np.int64))
+        keys, n = keys_of(k[1] for k in by), np.array(list(by.values()), np.int64)
+        self._build(langs, [Table(keys[size == k], lang[size == k], n[size == k], len(langs)) for k in range(MAX_GRAM + 1)])
 
     @classmethod
-    def of(cls, langs: list[str], size: np.ndarray, keys: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Model:
-        """The model of counts n by size, key of the text and number of the language, each once."""
+    def of(cls, langs: list[str], tables: list[Table]) -> Model:
+        """The model of the tables of words and of n-grams by their length."""
         out = cls.__new__(cls)
-        out._build(langs, size, keys, lang, n)
+        out._build(langs, tables)
         return out
 
-    def _build(self, langs: list[str], size: np.ndarray, keys: np.ndarray, lang: np.ndarray, n: np.ndarray) -> None:
+    def _build(self, langs: list[str], tables: list[Table]) -> None:
         self.langs = langs
-        self.words, *self.grams = [Table(keys[size == k], lang[size == k], n[size == k], len(langs)) for k in range(MAX_GRAM + 1)]
+        self.words, *self.grams = tables
         self.cache: dict[str, np.ndarray] = {}
 
     def unseen(self, words: list[str]) -> np.ndarray:
@@ -211,38 +211,43 @@ def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
                 yield from told()
         yield from told()
 
+    spark = df.sparkSession
+    words = written(map_batches(chosen, ["lang", "text"], count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    number = {lang: i for i, lang in enumerate(langs)}
+
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, str, str], int] = Counter()
+        sums: dict[tuple[int, str, int], int] = Counter()
 
         def told() -> Iterator[pa.RecordBatch]:
-            columns = [pa.array([k[0] for k in sums], pa.int32()), pa.array(keys_of(k[1] for k in sums)), pa.array([k[2] for k in sums], pa.string()), pa.array(sums.values(), pa.int64())]
+            columns = [pa.array([k[0] for k in sums], pa.int32()), pa.array(keys_of(k[1] for k in sums)), pa.array([k[2] for k in sums], pa.int32()), pa.array(sums.values(), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["size", "key", "lang", "n"])
             sums.clear()
 
         for batch in batches:
-            counts = dict(zip(zip(strings(batch.column(0)), strings(batch.column(1)), strict=True), batch.column(2).to_pylist(), strict=True))
+            own = [number[x] for x in strings(batch.column(0))]
+            counts = dict(zip(zip(own, strings(batch.column(1)), strict=True), batch.column(2).to_pylist(), strict=True))
             for k, n in with_grams(counts).items():
                 sums[k] += n
             if len(sums) > KEPT_COUNTS:
                 yield from told()
         yield from told()
 
-    spark = df.sparkSession
-    words = written(map_batches(chosen, ["lang", "text"], count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    by_lang = written(map_batches(words, ["lang", "word", "n"], count_grams, "size int, key long, lang string, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n")), "counts")
+    by_lang = map_batches(words, ["lang", "word", "n"], count_grams, "size int, key long, lang int, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
+    pairs = F.collect_list(F.struct("lang", "n")).alias("pairs")
+    # what was seen once is in no table
+    seen = written(by_lang.groupBy("size", "key").agg(F.sum("n").alias("n"), pairs).where("n >= 2").select("size", "key", F.explode("pairs").alias("pair")).select("size", "key", "pair.lang", "pair.n"), "counts")
+
+    def of_size(size: int) -> Table:
+        counts = seen.where(F.col("size") == size).select("key", "lang", "n").toArrow()
+        return Table(*(c.to_numpy() for c in counts.columns), len(langs))
+
     try:
-        langs = sorted(r.lang for r in words.select("lang").distinct().collect())
-        pairs = F.collect_list(F.struct("lang", "n")).alias("pairs")
-        # what was seen once is in no table
-        seen = by_lang.groupBy("size", "key").agg(F.sum("n").alias("n"), pairs).where("n >= 2").select("size", "key", "pairs.lang", "pairs.n").toArrow().combine_chunks()
+        model = Model.of(langs, [of_size(k) for k in range(MAX_GRAM + 1)])
     finally:
-        remove(spark, words.path, by_lang.path)
-    if not seen.num_rows:
-        return Model.of(langs, *(np.empty(0, np.int64) for _ in range(4)))
-    size, key, lang, n = (pa.concat_arrays(c.chunks) for c in seen.columns)
-    each = pc.list_value_length(lang).to_numpy()
-    lang = pc.index_in(lang.flatten(), value_set=pa.array(langs, pa.string())).to_numpy()
-    return Model.of(langs, np.repeat(size.to_numpy(), each), np.repeat(key.to_numpy(), each), lang, n.flatten().to_numpy())
+        remove(spark, words.path, seen.path)
+    settle(spark)
+    return model
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipehat.llm.arrow import claim, map_batches, slices, strings
+from pipehat.llm.arrow import claim, map_batches, settle, slices, strings
 from pipehat.llm.components import components
 from pipehat.llm.hot import dealt_join, hot_values
 from pipehat.runtime import remove, written
@@ -294,6 +294,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY
     """(id, key, class_id, class_key) of every row with a text; (class_id, class_key) is the least (id, key) of the row's class,
     null ids last. Written."""
     spark = df.sparkSession
+    settle(spark)
     signed = written(sign(df, id_col, text_col, bands, rows), "signed")
     distinct = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total"), F.count(F.lit(1)).alias("n")), "distinct")
     members, hot, spent = _meetings(distinct)
@@ -304,8 +305,10 @@ def classes(df: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY
     compared = written(verify(first, texts, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "same").distinct(), "compared")
     labels = components(compared.where("same").select("a", "b"))
     rest = written(texts.join(_open(led, labels, hot), "key"), "rest")
+    settle(spark)
     candidates, made = _prefix_pairs(rest, least)
     pairs = written(candidates.join(compared, ["a", "b"], "left_anti"), "pairs")
+    settle(spark)
     more = written(verify(pairs, rest.select("key", "text"), least), "compared")
     spent += [texts.path, led.path, first.path, compared.path, labels.path, rest.path, *made, pairs.path, more.path]
     # nodes order by id, so that a component's root names its class
@@ -322,6 +325,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY
     named = dealt_join(signed.select("id", "key", F.monotonically_increasing_id().alias("place")), names, "key", copies, "place")
     out = written(named.select("id", "key", F.col("root.id").alias("class_id"), F.col("root.key").alias("class_key")), "classes")
     remove(spark, *spent)
+    settle(spark)
     return out
 
 
@@ -335,6 +339,7 @@ def _meetings(distinct: DataFrame) -> tuple[DataFrame, DataFrame | None, list[st
     popular = met.groupBy("key").agg(F.sum("n").alias("popularity"))
     out = written(met.drop("n").join(popular, "key"), "members")
     remove(distinct.sparkSession, met.path)
+    settle(distinct.sparkSession)
     return out, hot, [sizes.path, out.path]
 
 

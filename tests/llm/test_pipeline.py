@@ -1,13 +1,17 @@
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from pipehat.llm import language, queries, secrets
+from pipehat.llm import language, near_dup, queries, secrets
+from pipehat.llm.arrow import give_back
 from pipehat.llm.queries import ORACLES, QUERIES
 
 from .test_corpus_operators import jaccard, shingles, tiles_by_force
@@ -117,3 +121,33 @@ def test_language_model_of_the_pipeline_reads_every_labelled_text(spark, monkeyp
         assert a.rows.keys() == b.rows.keys() and (a.logs == b.logs).all()
     assert len(models[0].words.rows) == 3003 and kept.count() == len(rows)
     assert models[0].predict(["a", "ω", "x y"])[0][:2] == ["aa", "zz"]
+
+
+def test_language_counts_reach_the_driver_as_numbers_one_length_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"word{'abcdefgh'[i % 8]}{'klmnop'[i % 6]} two words", "ab"[i % 2]) for i in range(96)], "text string, lang string")
+    sent, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(to_arrow(self)) or sent[-1])
+    model = language.train(docs, F.lit(True), max_docs=None)
+    assert [len(set(x["key"].to_pylist())) for x in sent] == [len(t.rows) for t in (model.words, *model.grams)] and len(sent) == 1 + language.MAX_GRAM
+    assert all(pa.types.is_integer(f.type) for x in sent for f in x.schema)
+
+
+def test_operators_collect_the_garbage_of_the_driver(spark):
+    """Its heap, broadcasts and shuffles of finished steps would else stay until the heap fills."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collections = lambda: sum(b.getCollectionCount() for b in beans if not re.search("Young|Copy|Scavenge", b.getName()))
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}", "en") for i in range(20)], "doc_id bigint, text string, lang string")
+    for work in (lambda: language.train(docs, F.lit(True)), lambda: near_dup.near_duplicates(docs)):
+        before = collections()
+        work()
+        assert collections() > before
+
+
+def test_free_memory_goes_back_to_the_system():
+    own = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    parts = [bytes(100_000) + bytes([i % 251]) for i in range(3000)]
+    last = parts[-1]
+    del parts
+    before = own()
+    give_back()
+    assert len(last) == 100_001 and own() <= before - (100 << 20)
