@@ -252,8 +252,9 @@ def _prefix_pairs(texts: DataFrame, least: float) -> tuple[DataFrame, list[str]]
 
     rows = written(map_batches(texts, ["key", "text"], shingles, "key binary, shingle long, weight long"), "shingles")
     sketched = map_batches(texts, ["key", "text"], sketches, "key binary, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)))
-    spread = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "spread")
-    hot = hot_values(spread, "shingle", rows.count())
+    total = rows.count()
+    spread = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "spread", total)
+    hot = hot_values(spread, "shingle", total)
     order = Window.partitionBy("key").orderBy("spread", "shingle").rowsBetween(Window.unboundedPreceding, -1)
     # what only one text has comes first, by its own order
     ranked = dealt_join(rows, spread.withColumnRenamed("n", "spread"), "shingle", hot, "key", "left").fillna(1, ["spread"]).withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0)))
@@ -296,14 +297,16 @@ def classes(df: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY
     spark = df.sparkSession
     settle(spark)
     signed = written(sign(df, id_col, text_col, bands, rows), "signed")
-    distinct = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total"), F.count(F.lit(1)).alias("n")), "distinct")
-    members, hot, spent = _meetings(distinct)
+    total = signed.count()
+    distinct = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("total").alias("total"), F.count(F.lit(1)).alias("n")), "distinct", total)
+    members, hot, met, spent = _meetings(distinct, total * bands)
     spent += [signed.path, distinct.path]
     texts = written(_fetch(df, id_col, text_col, members.select("key").distinct().join(distinct.select("key", "id"), "key")), "texts")
-    led = written(_led(members, hot), "led")
-    first = written(led.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    compared = written(verify(first, texts, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "same").distinct(), "compared")
-    labels = components(compared.where("same").select("a", "b"))
+    led = written(_led(members, hot), "led", met)
+    first = written(led.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "pairs", met)
+    compares = first.count()
+    compared = written(verify(first, texts, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "same").distinct(), "compared", compares)
+    labels = components(compared.where("same").select("a", "b"), compares)
     rest = written(texts.join(_open(led, labels, hot), "key"), "rest")
     settle(spark)
     candidates, made = _prefix_pairs(rest, least)
@@ -316,31 +319,32 @@ def classes(df: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY
     nodes = distinct.select("key", node.alias("node"))
     links = compared.unionAll(more).where("same").select("a", "b")
     links = links.join(nodes.toDF("a", "node_a"), "a").join(nodes.toDF("b", "node_b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    roots = components(links)
+    roots = components(links, compares + pairs.count())
     spent.append(roots.path)
     names = roots.select("node.key", "root")
     names = distinct.select("key", node.alias("own"), "n").join(names, "key", "left").select("key", F.coalesce("root", "own").alias("root"))
-    copies = hot_values(distinct.select("key", "n"), "key", signed.count())
+    copies = hot_values(distinct.select("key", "n"), "key", total)
     # dealt by their place in the table, since copies may share even their id
     named = dealt_join(signed.select("id", "key", F.monotonically_increasing_id().alias("place")), names, "key", copies, "place")
-    out = written(named.select("id", "key", F.col("root.id").alias("class_id"), F.col("root.key").alias("class_key")), "classes")
+    out = written(named.select("id", "key", F.col("root.id").alias("class_id"), F.col("root.key").alias("class_key")), "classes", total)
     remove(spark, *spent)
     settle(spark)
     return out
 
 
-def _meetings(distinct: DataFrame) -> tuple[DataFrame, DataFrame | None, list[str]]:
-    """(bucket, key, total, popularity) of the texts that meet others, hot buckets, and tables to remove after: popularity sums
-    the sizes of a text's buckets."""
+def _meetings(distinct: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None, int, list[str]]:
+    """(bucket, key, total, popularity) of the texts that meet others, hot buckets, the number of rows, and tables to remove after:
+    popularity sums the sizes of a text's buckets. most: of all texts, how many bands there are at most."""
     rows = distinct.where("bands IS NOT NULL").select("key", "total", F.explode("bands").alias("bucket"))
-    sizes = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    hot = hot_values(sizes, "bucket", sizes.agg(F.sum("n")).first()[0] or 0)
-    met = written(dealt_join(rows, sizes, "bucket", hot, "key"), "met")
+    sizes = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes", most)
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = hot_values(sizes, "bucket", n)
+    met = written(dealt_join(rows, sizes, "bucket", hot, "key"), "met", most)
     popular = met.groupBy("key").agg(F.sum("n").alias("popularity"))
-    out = written(met.drop("n").join(popular, "key"), "members")
+    out = written(met.drop("n").join(popular, "key"), "members", n)
     remove(distinct.sparkSession, met.path)
     settle(distinct.sparkSession)
-    return out, hot, [sizes.path, out.path]
+    return out, hot, n, [sizes.path, out.path]
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Narrow rows that a task takes for one file. For every file, its folder and its checksum Hadoop starts a chmod, where it has no native
+#: library; so a table made of few rows isn't spread over as many files as a shuffle has partitions.
+FILE_ROWS = 20_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,9 +52,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pipehat/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again. `.path` tells where."""
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it again. `.path` tells where. rows: how many narrow rows the
+    last step to df reads at most, if that is known; it then has a task for each core, or for each FILE_ROWS, but no more than before."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -128,6 +128,40 @@ def test_nothing_is_left_behind(spark):
     assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["classes"]
 
 
+def test_small_tables_take_few_files(spark, monkeypatch):
+    """Every file starts processes, whose number else follows the partitions of a shuffle; the result stays the same."""
+    from pipehat.llm import components as stars
+    from pipehat.runtime import written
+
+    files = {}
+
+    def noted(df, label, *rows):
+        out = written(df, label, *rows)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    rnd = random.Random(11)
+    texts = [text_of(rnd, 60) for _ in range(60)]
+    rows = [(i, edited(rnd, texts[i % 60], i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {n: c for (n, _), c in zip(rows, classes_by_force(rows), strict=True)}
+    for module in near_dup, stars:
+        monkeypatch.setattr(module, "written", noted)
+    more = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in more}
+    for k, v in more.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert files.keys() >= {"distinct", "sizes", "met", "members", "led", "edges", "least", "large", "spread", "classes"}
+    of_texts = {"signed", "texts", "rest", "shingles", "prefix", "pairs", "compared"}
+    assert all(n <= spark.sparkContext.defaultParallelism for label, n in files.items() if label not in of_texts), files
+
+
 def test_near_duplicates_edges(spark):
     schema = "doc_id bigint, text string"
     assert near_dup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
